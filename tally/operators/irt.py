@@ -14,10 +14,14 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tally import fixed
+from tally.functions.values import recode_not_attempted
+from tally.operators.reshape import item_columns
+from tally.operators.rows import first_per_key
 from tally.session import stage
 
 LOCAL_ITEMS = 12
@@ -29,13 +33,25 @@ MAX_ROUNDS = 500
 TOLERANCE = 1e-6
 
 
-def response_patterns(matrix: DataFrame, items: Sequence[str], segments: Sequence[str] = ()) -> DataFrame:
-    """Answer pattern (one 0/1 character per item) and how many persons gave it."""
-    return with_pattern(matrix, items).groupBy(*segments, "pattern").agg(F.count("*").alias("n"))
+def pattern_of(items: Sequence[str]) -> Column:
+    """The answers of a row as text, one 0/1 character per item."""
+    return F.concat(*[recode_not_attempted(F.col(c)).cast("int").cast("string") for c in items])
 
 
-def with_pattern(matrix: DataFrame, items: Sequence[str]) -> DataFrame:
-    return matrix.withColumn("pattern", F.concat(*[F.col(c).cast("int").cast("string") for c in items]))
+def domain_answers(df: DataFrame, id_column: str) -> DataFrame:
+    """Every student's pattern in every domain of a feed, from one deduplication."""
+    one_each = first_per_key(df, id_column)
+    parts = [
+        F.struct(F.lit(d).alias("domain"), pattern_of(columns).alias("pattern"))
+        for d in fixed.ITEM_BLOCKS
+        if (columns := item_columns(df, d))
+    ]
+    return one_each.select(id_column, F.inline(F.array(*parts)))
+
+
+def response_patterns(answers: DataFrame, segments: Sequence[str] = ()) -> DataFrame:
+    """How many persons gave each pattern."""
+    return answers.groupBy(*segments, "pattern").agg(F.count("*").alias("n"))
 
 
 # --- numeric helpers (arrays of at most items x nodes x patterns) --------------
@@ -200,9 +216,12 @@ def _expected_counts(keyed: DataFrame, params: dict) -> dict:
     return out
 
 
-def item_parameters(fits: DataFrame, items: Sequence[str], segments: Sequence[str] = ()) -> DataFrame:
-    """One row per item: difficulty and discrimination, three decimals."""
-    labels = F.array(*[F.lit(c) for c in items])
+def item_parameters(fits: DataFrame, items: Sequence[str] | Column, segments: Sequence[str] = ()) -> DataFrame:
+    """One row per item: difficulty and discrimination, three decimals.
+
+    ``items`` names the items in pattern order, as a list or an array column.
+    """
+    labels = items if isinstance(items, Column) else F.array(*[F.lit(c) for c in items])
     zipped = F.arrays_zip(labels.alias("item"), F.col("difficulty"), F.col("slope"))
     return fits.select(*segments, F.explode(zipped).alias("p")).select(
         *segments,
@@ -245,8 +264,8 @@ def pattern_abilities(patterns: DataFrame, fits: DataFrame, segments: Sequence[s
 
 
 def person_abilities(
-    matrix: DataFrame, items: Sequence[str], abilities: DataFrame, id_column: str, segments: Sequence[str] = ()
+    answers: DataFrame, abilities: DataFrame, id_column: str, segments: Sequence[str] = ()
 ) -> DataFrame:
     """Every person's ability, by joining patterns back to persons."""
     lookup = abilities.select(*segments, "pattern", "ability")
-    return with_pattern(matrix, items).join(lookup, [*segments, "pattern"]).select(id_column, *segments, "ability")
+    return answers.join(lookup, [*segments, "pattern"]).select(id_column, *segments, "ability")

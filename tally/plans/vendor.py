@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tally import fixed
 from tally.operators import irt, markers, reshape
+from tally.session import stage
 from tally.sources.files import answer_schema, csv_header, scan_many, scan_typed_csv
 
 
@@ -45,27 +46,28 @@ def reconcile_vendor(vendor: DataFrame, results: DataFrame, tolerance: float = 0
 
 
 def fit_paper(paper: Mapping[int, DataFrame], id_column: str = "PlatformId") -> dict[str, DataFrame]:
-    """All level-by-domain fits: item parameters, statistics and abilities.
-
-    Fits with the same number of items run together as one grouped job.
-    """
-    items, stats, abilities = [], [], []
-    for level, df in paper.items():
-        for domain in fixed.ITEM_BLOCKS:
-            columns = reshape.item_columns(df, domain)
-            if not columns:
-                continue
-            matrix = reshape.response_matrix(df, id_column, domain).withColumns(
-                {"year_level": F.lit(level), "domain": F.lit(domain)}
-            )
-            segments = ["year_level", "domain"]
-            patterns = irt.response_patterns(matrix, columns, segments)
-            fits = irt.fit_groups(patterns, len(columns), segments)
-            items.append(irt.item_parameters(fits, columns, segments))
-            stats.append(irt.fit_statistics(fits, segments))
-            known = irt.pattern_abilities(patterns, fits, segments)
-            abilities.append(irt.person_abilities(matrix, columns, known, id_column, segments))
-    return {"items": scan_many(items), "statistics": scan_many(stats), "abilities": scan_many(abilities)}
+    """All level-by-domain fits as one grouped job: items, statistics, abilities."""
+    segments = ["year_level", "domain"]
+    answers = stage(
+        scan_many(
+            irt.domain_answers(df, id_column).withColumn("year_level", F.lit(level).cast("bigint"))
+            for level, df in paper.items()
+        ),
+        "answers",
+    )
+    headers = {(y, d): reshape.item_columns(df, d) for y, df in paper.items() for d in fixed.ITEM_BLOCKS}
+    labels = F.lit(None).cast("array<string>")
+    for (level, domain), columns in headers.items():
+        here = (F.col("year_level") == level) & (F.col("domain") == domain)
+        labels = F.when(here, F.array(*[F.lit(c) for c in columns])).otherwise(labels)
+    patterns = stage(irt.response_patterns(answers, segments), "patterns")
+    fits = irt.fit_groups(patterns, max(map(len, headers.values())), segments)
+    known = irt.pattern_abilities(patterns, fits, segments)
+    return {
+        "items": irt.item_parameters(fits, labels, segments),
+        "statistics": irt.fit_statistics(fits, segments),
+        "abilities": irt.person_abilities(answers, known, id_column, segments),
+    }
 
 
 def review_markers(writing: Mapping[str, DataFrame], results: DataFrame) -> DataFrame:
