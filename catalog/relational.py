@@ -10,7 +10,7 @@ from tally.functions import naming, values
 from tally.operators import groups, ranking, rows, scores
 from tally.operators.routing import question_words
 from tally.plans import questions
-from tally.session import scratch_path
+from tally.session import scratch_path, stage
 from tally.sources import describe, files
 
 # --- sources and sinks ------------------------------------------------------------
@@ -254,7 +254,7 @@ BAND_SQL = """CASE WHEN scaled_score IS NULL THEN NULL
 
 def lookup_of(levels):
     dims = levels.groupBy("year_level", "domain").agg(F.max("raw_score").alias("max_raw"))
-    return scores.score_map(dims)
+    return stage(scores.score_map(dims), "lookup")
 
 
 @query("score_map", "D_levels", sql=f"WITH {LOOKUP_SQL} SELECT * FROM lookup")

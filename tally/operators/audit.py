@@ -130,3 +130,12 @@ def with_total(report: DataFrame) -> DataFrame:
     """The report and a closing row with the number of values changed."""
     total = count_row(report, "total values changed", "", F.sum("changed"))
     return report.unionByName(total)
+
+
+def summary_lines(report: DataFrame) -> DataFrame:
+    """The report as text, one line per rule and column, the total last."""
+    label = F.when(F.col("column") == "", F.col("rule")).otherwise(F.concat("rule", F.lit(" ("), "column", F.lit(")")))
+    tail = F.when(F.col("detail") == "", F.lit("")).otherwise(F.concat(F.lit("  - "), "detail"))
+    last = F.col("column") == ""
+    line = F.format_string("%-44s %10s%s", label, F.format_number("changed", 0), tail)
+    return with_total(report).orderBy(last, "rule", "column").select(line.alias("line"))

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tally import fixed
-from tally.functions.values import recode_not_attempted
 from tally.operators.reshape import item_columns
 from tally.operators.rows import first_per_key
 from tally.session import stage
@@ -34,8 +33,11 @@ TOLERANCE = 1e-6
 
 
 def pattern_of(items: Sequence[str]) -> Column:
-    """The answers of a row as text, one 0/1 character per item."""
-    return F.concat(*[recode_not_attempted(F.col(c)).cast("int").cast("string") for c in items])
+    """The answers of a row as text: 1 where right, 0 for anything else.
+
+    Only two characters occur, so k items give at most ``2**k`` patterns.
+    """
+    return F.concat(*[F.when(F.col(c) == 1, F.lit("1")).otherwise(F.lit("0")) for c in items])
 
 
 def domain_answers(df: DataFrame, id_column: str) -> DataFrame:
@@ -243,7 +245,10 @@ def fit_statistics(fits: DataFrame, segments: Sequence[str] = ()) -> DataFrame:
 
 
 def pattern_abilities(patterns: DataFrame, fits: DataFrame, segments: Sequence[str] = ()) -> DataFrame:
-    """Expected ability of every pattern under its group's fit."""
+    """Expected ability of every pattern under its group's fit.
+
+    Written out, so Catalyst knows how small it is when persons join it.
+    """
     names = list(segments)
     known = patterns.select(*names, "pattern", "n")
     if names:
@@ -260,7 +265,7 @@ def pattern_abilities(patterns: DataFrame, fits: DataFrame, segments: Sequence[s
                 yield group[[*names, "pattern", "n"]].assign(ability=weight @ NODES)
 
     schema = T.StructType([*known.schema.fields, T.StructField("ability", T.DoubleType())])
-    return joined.mapInPandas(theta, schema)
+    return stage(joined.mapInPandas(theta, schema), "abilities")
 
 
 def person_abilities(

@@ -162,9 +162,9 @@ def reconcile(
     tolerance: float = 0.0,
 ) -> DataFrame:
     """Pairs whose two totals differ by more than the tolerance. Empty is proof."""
-    met = _meet(vendor_long, warehouse, vendor_id, warehouse_id, "inner")
+    v, w = _totals(vendor_long, warehouse, vendor_id, warehouse_id)
     gap = F.abs(F.col("raw_score_vendor") - F.col("raw_score_warehouse"))
-    return met.filter(gap > tolerance)
+    return v.join(w, [vendor_id, "domain"]).filter(gap > tolerance)
 
 
 def reconcile_summary(
@@ -174,23 +174,34 @@ def reconcile_summary(
     warehouse_id: str = "student_id",
     tolerance: float = 0.0,
 ) -> DataFrame:
-    """Matched, mismatched and one-sided rows: what an inner join alone hides."""
-    met = _meet(vendor_long, warehouse, vendor_id, warehouse_id, "full_outer")
+    """Matched, mismatched and one-sided rows: what an inner join alone hides.
+
+    Equal totals of a pair are counted before the two sides meet, so repeated
+    rows of one pair never travel as rows.
+    """
+    v, w = _totals(vendor_long, warehouse, vendor_id, warehouse_id)
+    v = v.groupBy(*v.columns).agg(F.count("*").alias("nv"))
+    w = w.groupBy(*w.columns).agg(F.count("*").alias("nw"))
+    met = v.join(w, [vendor_id, "domain"], "full_outer")
     gap = F.abs(F.col("raw_score_vendor") - F.col("raw_score_warehouse"))
-    both = F.col("__v") & F.col("__w")
+    pairs = F.col("nv") * F.col("nw")
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
     return met.agg(
-        F.count_if(both).alias("compared"),
-        F.count_if(both & (gap > tolerance)).alias("mismatched"),
-        F.count_if(F.col("__w").isNull()).alias("vendor_only"),
-        F.count_if(F.col("__v").isNull()).alias("warehouse_only"),
+        total(pairs).alias("compared"),
+        total(F.when(gap > tolerance, pairs)).alias("mismatched"),
+        total(F.when(F.col("nw").isNull(), F.col("nv"))).alias("vendor_only"),
+        total(F.when(F.col("nv").isNull(), F.col("nw"))).alias("warehouse_only"),
     )
 
 
-def _meet(vendor: DataFrame, warehouse: DataFrame, vendor_id: str, warehouse_id: str, how: str) -> DataFrame:
-    v = vendor.select(vendor_id, "domain", F.col("raw_score").alias("raw_score_vendor"))
-    w = warehouse.select(
-        F.col(warehouse_id).alias(vendor_id), "domain", F.col("raw_score").alias("raw_score_warehouse")
+def _totals(vendor: DataFrame, warehouse: DataFrame, vendor_id: str, warehouse_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides under common key names, each with its own score column."""
+    return (
+        vendor.select(vendor_id, "domain", F.col("raw_score").alias("raw_score_vendor")),
+        warehouse.select(
+            F.col(warehouse_id).alias(vendor_id), "domain", F.col("raw_score").alias("raw_score_warehouse")
+        ),
     )
-    if how == "full_outer":
-        v, w = v.withColumn("__v", F.lit(True)), w.withColumn("__w", F.lit(True))
-    return v.join(w, [vendor_id, "domain"], how)

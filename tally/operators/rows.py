@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,19 +11,27 @@ from tally.functions.text import is_lossy, normalise_id
 from tally.operators.audit import count_row
 
 
-def _null_safe(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[v]) for k, v in pairs.items()])
-
-
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     """One row of each group of identical rows; copies collapse before the shuffle."""
     return df.dropDuplicates()
 
 
+COPIES = "__copies"
+
+
+def with_copies(df: DataFrame) -> DataFrame:
+    """Distinct rows and how often each was delivered."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias(COPIES))
+
+
+def copies_report(counted: DataFrame, name: str) -> DataFrame:
+    """Report row with the number of copies removed, from ``with_copies``."""
+    return count_row(counted, "drop_exact_duplicates", name, F.sum(F.col(COPIES) - 1))
+
+
 def duplicate_report(df: DataFrame, name: str) -> DataFrame:
-    """Report row with the number of copies ``drop_exact_duplicates`` removes."""
-    copies = df.groupBy(*df.columns).agg((F.count("*") - 1).alias("extra"))
-    return count_row(copies, "drop_exact_duplicates", name, F.sum("extra"))
+    """The same straight from the rows."""
+    return copies_report(with_copies(df), name)
 
 
 def _keep_one(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -91,18 +98,18 @@ def orphan_accounting(
 ) -> DataFrame:
     """Keys and rows on each side that have no partner on the other.
 
-    Both sides are counted per key before they meet, so a hot key is one row.
+    Both sides are counted per key in one grouping instead of an outer join: rows
+    of a hot key collapse before the shuffle, and null keys meet like any other.
     """
-    a = left.groupBy(*on).agg(F.count("*").alias("__left"))
-    b = right.groupBy(*on).agg(F.count("*").alias("__right"))
-    pairs = {k: k for k in on}
-    met = a.join(b, _null_safe(a, b, pairs), "full_outer").select("__left", "__right")
-    only_left, only_right = F.col("__right").isNull(), F.col("__left").isNull()
-    one = met.agg(
-        F.count_if(only_left).alias("lk"),
-        F.coalesce(F.sum(F.when(only_left, F.col("__left"))), F.lit(0)).alias("lr"),
-        F.count_if(only_right).alias("rk"),
-        F.coalesce(F.sum(F.when(only_right, F.col("__right"))), F.lit(0)).alias("rr"),
+    tagged = left.select(*on, F.lit(1).alias("__l"), F.lit(0).alias("__r")).unionAll(
+        right.select(*on, F.lit(0).alias("__l"), F.lit(1).alias("__r"))
+    )
+    per_key = tagged.groupBy(*on).agg(F.sum("__l").alias("l"), F.sum("__r").alias("r"))
+    one = per_key.agg(
+        F.count_if(F.col("r") == 0).alias("lk"),
+        F.coalesce(F.sum(F.when(F.col("r") == 0, F.col("l"))), F.lit(0)).alias("lr"),
+        F.count_if(F.col("l") == 0).alias("rk"),
+        F.coalesce(F.sum(F.when(F.col("l") == 0, F.col("r"))), F.lit(0)).alias("rr"),
     )
 
     def line(side: str, other: str, keys: str, rows: str) -> Column:

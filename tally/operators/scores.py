@@ -28,7 +28,11 @@ def standard_dims(spark) -> DataFrame:
 
 
 def attach_scaled(results: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Left join of the lookup on level, domain and raw score."""
+    """Left join of the lookup on level, domain and raw score.
+
+    Its few key values repeat on many rows. Pass a lookup that was read or staged
+    from files: Catalyst then broadcasts it by its true size and shuffles nothing.
+    """
     return results.join(lookup, ["year_level", "domain", "raw_score"], "left")
 
 

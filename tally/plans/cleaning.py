@@ -154,14 +154,19 @@ def _audited(df: DataFrame, rules) -> audit.Audited:
     return audit.Audited(stage(done.df, "audited"), done.rules, done.columns)
 
 
+def _counted(tidy: DataFrame) -> DataFrame:
+    """Distinct rows with their copies, written once for the table and the report."""
+    return stage(rows.with_copies(tidy), "distinct")
+
+
 def clean_students(raw: DataFrame) -> Cleaned:
     """One row per student; a conflict keeps the lowest school id."""
     done = _audited(raw, STUDENT_RULES)
-    tidy = _rename(done.df, STUDENT_COLUMNS)
-    unique = rows.drop_exact_duplicates(tidy)
+    counted = _counted(_rename(done.df, STUDENT_COLUMNS))
+    unique = counted.drop(rows.COPIES)
     report = audit.union_reports(
         done.report(),
-        rows.duplicate_report(tidy, "students"),
+        rows.copies_report(counted, "students"),
         rows.conflict_report(unique, "student_id", "school_id", ascending=True),
     )
     return Cleaned(rows.resolve_conflicts(unique, "student_id", "school_id", ascending=True), report)
@@ -169,34 +174,35 @@ def clean_students(raw: DataFrame) -> Cleaned:
 
 def clean_participation(raw: DataFrame) -> Cleaned:
     done = _audited(raw, PARTICIPATION_RULES)
-    tidy = done.df.select("student_id", "domain", "participation_code", "cal_year")
-    report = audit.union_reports(done.report(), rows.duplicate_report(tidy, "participation"))
-    return Cleaned(rows.drop_exact_duplicates(tidy), report)
+    counted = _counted(done.df.select("student_id", "domain", "participation_code", "cal_year"))
+    report = audit.union_reports(done.report(), rows.copies_report(counted, "participation"))
+    return Cleaned(counted.drop(rows.COPIES), report)
 
 
 def clean_results(raw: DataFrame, participation: Cleaned) -> Cleaned:
     """One row per result; a refusal's scores are zero whatever was delivered."""
     done = _audited(raw, RESULT_RULES)
-    tidy = _rename(done.df, RESULT_COLUMNS)
-    overridden = reshape.zero_refused(rows.drop_exact_duplicates(tidy), participation.table)
+    counted = _counted(_rename(done.df, RESULT_COLUMNS))
+    unique = counted.drop(rows.COPIES)
+    overridden = stage(reshape.zero_refused(unique, participation.table), "overridden")
     report = audit.union_reports(
         done.report(),
-        rows.duplicate_report(tidy, "results"),
+        rows.copies_report(counted, "results"),
         participation.report,
         reshape.refused_report(overridden),
     )
-    return Cleaned(overridden.select(*tidy.columns), report)
+    return Cleaned(overridden.select(*unique.columns), report)
 
 
 def clean_schools(raw: DataFrame, non_schools=fixed.NON_SCHOOL_IDS) -> Cleaned:
     """Real schools only."""
     done = _audited(raw, SCHOOL_RULES)
-    tidy = _rename(done.df, SCHOOL_COLUMNS)
-    unique = rows.drop_exact_duplicates(tidy)
+    counted = _counted(_rename(done.df, SCHOOL_COLUMNS))
+    unique = counted.drop(rows.COPIES)
     listed = F.col("school_id").isin(*non_schools)
     report = audit.union_reports(
         done.report(),
-        rows.duplicate_report(tidy, "schools"),
+        rows.copies_report(counted, "schools"),
         audit.count_row(unique, "drop_non_schools", "school_id", F.count_if(listed), "pseudo/home"),
     )
     return Cleaned(rows.exclude_ids(unique, "school_id", non_schools), report)

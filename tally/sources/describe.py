@@ -65,6 +65,12 @@ def dictionary_markdown(dictionary: DataFrame) -> DataFrame:
     return per_table.select(F.concat(head, "body", F.lit("\n")).alias("section"))
 
 
+def write_dictionary(tables: Mapping[str, DataFrame], path: str, notes: Mapping[str, str] = COLUMN_NOTES) -> str:
+    """Write the markdown sections as text, replacing what was there."""
+    dictionary_markdown(data_dictionary(tables, notes)).write.mode("overwrite").text(path)
+    return path
+
+
 def source_inventory(sources: Mapping[str, DataFrame]) -> DataFrame:
     """Files, rows, columns and bytes per source, and a total row.
 
