@@ -68,12 +68,13 @@ def canonicalise_code(c: Column, vocabulary: Mapping[str, Iterable[str]]) -> Col
 def parse_date(c: Column) -> Column:
     """Date from ISO text, or from day-first text falling back to month-first.
 
-    ISO text is never re-read day-first. Other text is split once and reassembled
-    as ISO, so a value that fits no format costs a null rather than a formatter
-    exception per attempt. A two-digit year takes the POSIX pivot.
+    ISO text is never re-read day-first. Other text is cut at its separators and
+    reassembled as ISO, so a value that fits no format costs a null rather than a
+    formatter exception per attempt. A two-digit year takes the POSIX pivot.
     """
-    parts = F.split(c, "[/-]")
-    first, second, year = (F.get(parts, F.lit(i)) for i in range(3))
+    cut = F.translate(c, "/", "-")
+    first, year = F.substring_index(cut, "-", 1), F.substring_index(cut, "-", -1)
+    second = F.substring_index(F.substring_index(cut, "-", 2), "-", -1)
     named = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, str(i))])
     second = F.coalesce(F.try_element_at(named, F.lower(second)), second)
     century = F.when(F.length(year) == 4, F.lit("")).when(year >= YEAR_PIVOT, F.lit("19")).otherwise(F.lit("20"))

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tally.session import stage
+
 Counter = Callable[[Column, Column], Column]
 
 REPORT_SCHEMA = "rule string, column string, changed bigint, detail string"
@@ -127,7 +129,11 @@ def union_reports(*reports: DataFrame) -> DataFrame:
 
 
 def with_total(report: DataFrame) -> DataFrame:
-    """The report and a closing row with the number of values changed."""
+    """The report and a closing row with the number of values changed.
+
+    The few report rows are written first, so the total does not count again.
+    """
+    report = stage(report, "report")
     total = count_row(report, "total values changed", "", F.sum("changed"))
     return report.unionByName(total)
 

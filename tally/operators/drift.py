@@ -7,7 +7,7 @@ suggested, never renamed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,12 +29,16 @@ def _key_form(c: Column) -> Column:
 
 
 def value_counts(df: DataFrame) -> DataFrame:
-    """``(column, value, shape, n)`` over every non-null cell of a feed."""
+    """``(column, value, shape, n)`` of the distinct values of every column.
+
+    Equal cells collapse before the shuffle; key form and shape are worked out
+    once per distinct value after it.
+    """
     cells = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
     long = cells.unpivot([], df.columns, "column", "value").filter(F.col("value").isNotNull())
-    return long.groupBy(
-        "column", _key_form(F.col("value")).alias("value"), fingerprint(F.col("value")).alias("shape")
-    ).agg(F.count("*").alias("n"))
+    counted = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    value = F.col("value")
+    return counted.select("column", _key_form(value).alias("value"), fingerprint(value).alias("shape"), "n")
 
 
 def column_shapes(counts: DataFrame) -> DataFrame:
@@ -110,8 +114,8 @@ def detect_drift(
     present = expected in source.columns
     scored = score_columns(source, target, reference, reference_column, letters)
     # One row per header of the feed, so the ranking is a small sort.
-    best = scored.select(F.max_by("position", F.struct("combined", -F.col("position")))).scalar()
-    suggested = F.lit(not present) & (F.col("position") == best) & (F.col("combined") >= threshold)
+    first = F.row_number().over(Window.orderBy(F.desc("combined"), "position")) == 1
+    suggested = F.lit(not present) & first & (F.col("combined") >= threshold)
     return (
         scored.withColumns(
             {

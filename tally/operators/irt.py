@@ -29,6 +29,7 @@ PRIOR = np.exp(-0.5 * NODES**2) / np.exp(-0.5 * NODES**2).sum()
 SLOPE_BOUNDS = (0.05, 5.0)
 DIFFICULTY_BOUNDS = (-6.0, 6.0)
 MAX_ROUNDS = 500
+STEPS = 5
 TOLERANCE = 1e-6
 
 
@@ -87,23 +88,20 @@ def _expected(marks, counts, slope, difficulty) -> tuple[np.ndarray, np.ndarray,
 
 
 def _update(right, persons, slope, difficulty) -> tuple[np.ndarray, np.ndarray]:
-    """One scoring step per item on the expected counts, in slope-intercept form."""
-    new_slope, new_difficulty = slope.copy(), difficulty.copy()
-    for j in range(len(slope)):
-        a, d = slope[j], -slope[j] * difficulty[j]
-        for _ in range(25):
-            p = np.clip(1.0 / (1.0 + np.exp(-(a * NODES + d))), 1e-12, 1 - 1e-12)
-            gap, info = right[j] - persons * p, persons * p * (1 - p)
-            grad = np.array([(gap * NODES).sum(), gap.sum()])
-            cross = (info * NODES).sum()
-            hess = np.array([[(info * NODES**2).sum(), cross], [cross, info.sum()]]) + 1e-9 * np.eye(2)
-            move = np.clip(np.linalg.solve(hess, grad), -0.5, 0.5)
-            a, d = float(np.clip(a + move[0], *SLOPE_BOUNDS)), d + move[1]
-            if np.abs(move).max() < 1e-8:
-                break
-        new_slope[j] = a
-        new_difficulty[j] = np.clip(-d / a, *DIFFICULTY_BOUNDS)
-    return new_slope, new_difficulty
+    """Scoring steps on the expected counts, all items at once, in slope-intercept form."""
+    a, d = slope.copy(), -slope * difficulty
+    for _ in range(STEPS):
+        p = np.clip(1.0 / (1.0 + np.exp(-(a[:, None] * NODES + d[:, None]))), 1e-12, 1 - 1e-12)
+        gap, info = right - persons * p, persons * p * (1 - p)
+        grad_a, grad_d = gap @ NODES, gap.sum(axis=1)
+        aa, ad, dd = info @ NODES**2 + 1e-9, info @ NODES, info.sum(axis=1) + 1e-9
+        det = aa * dd - ad * ad
+        move_a = np.clip((dd * grad_a - ad * grad_d) / det, -0.5, 0.5)
+        move_d = np.clip((aa * grad_d - ad * grad_a) / det, -0.5, 0.5)
+        a, d = np.clip(a + move_a, *SLOPE_BOUNDS), d + move_d
+        if max(np.abs(move_a).max(), np.abs(move_d).max()) < 1e-8:
+            break
+    return a, np.clip(-d / a, *DIFFICULTY_BOUNDS)
 
 
 def _start(share_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 A window without partition keys sends every row to a single task. Here rows are
 range-partitioned on the full sort key, written once, and numbered inside their
-partition; a handful of partition counts supplies the offsets.
+partition; a handful of partition counts supplies the offsets. Only an input that
+is small by Catalyst's own estimate takes the one-task form.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.session import stage
+from tally.session import is_small, stage
 
 
 def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -41,6 +42,9 @@ def global_row_number(df: DataFrame, *order: Column, name: str = "rank", total:
     End the order with a unique column: it makes the numbering repeatable and
     lets ranges split rows that tie on the leading columns.
     """
+    if is_small(df):
+        extra = {total: F.count("*").over(Window.partitionBy())} if total else {}
+        return df.withColumns({name: F.row_number().over(Window.orderBy(*order)).cast("bigint"), **extra})
     ranged = _ranged(df, order)
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     numbered = _with_offset(ranged.withColumn("__local", local), F.count("*"))
@@ -55,6 +59,8 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
     Equal values collapse to a count before the shuffle; the middle is then found
     from running counts over value ranges.
     """
+    if is_small(df):
+        return df.agg(F.median(column).alias("median"), F.count(column).alias("n"))
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     ranged = _ranged(counts, [F.col("value")])
     running = Window.partitionBy("__part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)

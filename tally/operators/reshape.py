@@ -52,9 +52,13 @@ def recode_items(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def unpivot_items(df: DataFrame, id_column: str) -> DataFrame:
-    """One row per student and item, with the item's domain."""
-    long = df.unpivot([id_column], item_columns(df), "item", "mark")
-    return long.withColumn("domain", domain_of(F.col("item")))
+    """One row per student and item, with the item's domain.
+
+    The headers are known here, so the domain is a lookup, not a parse per row.
+    """
+    items = item_columns(df)
+    domains = F.create_map(*[F.lit(x) for c in items for x in (c, header_domain(c))])
+    return df.unpivot([id_column], items, "item", "mark").withColumn("domain", domains[F.col("item")])
 
 
 def _row_sum(columns: Sequence[str], recode: bool) -> Column:

@@ -129,19 +129,20 @@ def prefer_source(
 ) -> DataFrame:
     """Take the other feed's value where ours is missing or lossy.
 
-    Keys meet in their normalised form. The other feed is reduced to one value
-    per key first, so the join can neither fan out nor hit a hot key on that side.
+    Keys meet in their normalised form. Only rows that need a value are joined, so
+    the rest of the table is not shuffled; the other feed is reduced to one value
+    per key first, so the join cannot fan out.
     """
+    ours, flag = F.col(column), f"{column}_replaced"
+    needed = ours.isNull() | is_lossy(ours)
     theirs = (
         other.select(normalise_id(F.col(other_key).cast("string")).alias("__key"), F.col(other_column).alias("__value"))
         .groupBy("__key")
         .agg(F.min("__value").alias("__value"))
     )
-    joined = df.join(theirs, normalise_id(df[key].cast("string")) == theirs["__key"], "left")
-    ours = df[column]
-    use_theirs = (ours.isNull() | is_lossy(ours)) & F.col("__value").isNotNull()
-    return joined.select(
-        *[df[c] for c in df.columns if c != column],
-        F.when(use_theirs, F.col("__value")).otherwise(ours).alias(column),
-        use_theirs.alias(f"{column}_replaced"),
+    kept = df.filter(~needed).withColumn(flag, F.lit(False))
+    keyed = df.filter(needed).withColumn("__key", normalise_id(F.col(key).cast("string")))
+    filled = keyed.join(theirs, "__key", "left").withColumns(
+        {column: F.coalesce("__value", ours), flag: F.col("__value").isNotNull()}
     )
+    return kept.unionByName(filled.select(*kept.columns))

@@ -66,3 +66,14 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_small(df: DataFrame) -> bool:
+    """True where Catalyst's own size estimate allows a broadcast of ``df``.
+
+    Used to pick a one-task form of an operator; the distributed form takes over
+    beyond it. The estimate comes from file sizes and starts no job.
+    """
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit

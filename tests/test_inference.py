@@ -9,11 +9,26 @@ from pyspark.sql import functions as F
 
 from tally.functions.inference import t_quantile
 from tally.operators import groups, irt, markers, ranking, sentinels
+from tally.session import is_small, stage
 
 
-def test_global_rank_matches_sort_with_hot_value(spark):
+@pytest.fixture(params=["one task", "ranges"])
+def either_form(request, spark):
+    """Run with the one-task form for small inputs, and with it switched off."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    if request.param == "ranges":
+        spark.conf.set(key, "-1")
+    yield request.param
+    spark.conf.unset(key)
+
+
+def test_forms_are_picked_by_size(spark, either_form):
+    assert is_small(spark.range(10)) is (either_form == "one task")
+
+
+def test_global_rank_matches_sort_with_hot_value(spark, either_form):
     values = [(i, 7.0 if i % 3 == 0 else float(i * 37 % 101)) for i in range(3000)]
-    df = spark.createDataFrame(values, "id int, v double").repartition(8)
+    df = stage(spark.createDataFrame(values, "id int, v double").repartition(8))
     ranked = ranking.global_row_number(df, F.desc("v"), F.col("id"), total="n").collect()
     got = [r["id"] for r in sorted(ranked, key=lambda r: r["rank"])]
     assert got == [i for i, _v in sorted(values, key=lambda t: (-t[1], t[0]))]
@@ -22,8 +37,8 @@ def test_global_rank_matches_sort_with_hot_value(spark):
 
 
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0] * 40 + [1.0, 9.0, 11.0], list(np.random.default_rng(1).normal(size=501))])
-def test_exact_median(spark, values):
-    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+def test_exact_median(spark, either_form, values):
+    df = stage(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double"))
     one = ranking.exact_median(df, "v").first()
     assert one["n"] == len(values)
     assert math.isclose(one["median"], statistics.median(values))
@@ -38,7 +53,7 @@ def test_histogram_shows_empty_bins_and_closes_the_last(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 8, 9, 100, 1234])
-def test_spaced_sample_positions(spark, n):
+def test_spaced_sample_positions(spark, either_form, n):
     df = spark.range(n).select(F.col("id"), (F.col("id") * 1.5).alias("theta"))
     out = ranking.spaced_sample(df, F.desc("theta"), F.col("id")).orderBy("rank").collect()
     k = min(8, n)
