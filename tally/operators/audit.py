@@ -66,6 +66,10 @@ class Audited:
     rules: Sequence[Rule]
     columns: Sequence[str]
 
+    @property
+    def flags(self) -> list[str]:
+        return [c for c in self.df.columns if c.startswith("__")]
+
     def clean(self) -> DataFrame:
         return self.df.select(*self.columns)
 
@@ -89,15 +93,17 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> Audited:
     return Audited(df, rules, [c for c in df.columns if not c.startswith("__")])
 
 
-def rule_report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One aggregate over all counters, one output row per rule."""
-    counts = {_flag(i, "changed"): F.count_if(_flag(i, "changed")) for i in range(len(rules))}
-    counts |= {
-        _flag(i, "detail"): F.count_if(_flag(i, "detail"))
-        for i, rule in enumerate(rules)
-        if rule.detail_count is not None
-    }
-    totals = df.agg(*[expr.alias(name) for name, expr in counts.items()])
+def rule_report(df: DataFrame, rules: Sequence[Rule], summed: bool = False) -> DataFrame:
+    """One aggregate over all counters, one output row per rule.
+
+    ``summed`` says that the flags were already counted per distinct row.
+    """
+    flags = [_flag(i, "changed") for i in range(len(rules))]
+    flags += [_flag(i, "detail") for i, rule in enumerate(rules) if rule.detail_count is not None]
+    if summed:
+        totals = df.agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in flags])
+    else:
+        totals = df.agg(*[F.count_if(f).alias(f) for f in flags])
     rows = []
     for i, rule in enumerate(rules):
         detail = F.lit(rule.detail)

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tally.functions.naming import fingerprint, name_similarity
 from tally.functions.text import trimmed
-from tally.session import stage
+from tally.session import literal_rows, stage
 
 # Fewest distinct values an identifier has, blend of the signals,
 # and the score from which a candidate is suggested.
@@ -72,10 +71,7 @@ def score_columns(
     counts = stage(value_counts(source), "cells")
     known = stage(value_counts(reference.select(reference_column)), "reference")
     ref_shape = column_shapes(known).select("shape").scalar()
-    names = source.sparkSession.createDataFrame(
-        [(i, c) for i, c in enumerate(source.columns)],
-        T.StructType([T.StructField("position", T.LongType()), T.StructField("column", T.StringType())]),
-    )
+    names = literal_rows(source.sparkSession, ("position", "column"), enumerate(source.columns))
     scored = (
         names.join(column_overlaps(counts, known), "column", "left")
         .join(column_shapes(counts), "column", "left")

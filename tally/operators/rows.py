@@ -19,9 +19,14 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 COPIES = "__copies"
 
 
-def with_copies(df: DataFrame) -> DataFrame:
-    """Distinct rows and how often each was delivered."""
-    return df.groupBy(*df.columns).agg(F.count("*").alias(COPIES))
+def with_copies(df: DataFrame, flags: Sequence[str] = ()) -> DataFrame:
+    """Distinct rows and how often each was delivered.
+
+    ``flags`` name boolean columns that do not make a row different; their true
+    values are counted per distinct row.
+    """
+    keys = [c for c in df.columns if c not in flags]
+    return df.groupBy(*keys).agg(F.count("*").alias(COPIES), *[F.count_if(f).alias(f) for f in flags])
 
 
 def copies_report(counted: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tally import fixed
 from tally.functions.scale import band, domain_offset, level_floor, scaled_score
+from tally.session import literal_rows
 
 
 def score_map(dims: DataFrame) -> DataFrame:
@@ -24,7 +25,8 @@ def score_map(dims: DataFrame) -> DataFrame:
 def standard_dims(spark) -> DataFrame:
     """All year levels and domains of the standard test layout."""
     rows = [(y, d, n) for y in fixed.YEAR_LEVELS for d, n in fixed.DOMAIN_ITEMS.items()]
-    return spark.createDataFrame(rows, "year_level bigint, domain string, max_raw bigint")
+    dims = literal_rows(spark, ("year_level", "domain", "max_raw"), rows)
+    return dims.withColumns({c: F.col(c).cast("bigint") for c in ("year_level", "max_raw")})
 
 
 def attach_scaled(results: DataFrame, lookup: DataFrame) -> DataFrame:

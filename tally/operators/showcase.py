@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tally import fixed
 from tally.operators.audit import Rule
+from tally.session import literal_rows
 
 # What each rule does, for one sentence of a summary.
 RULE_TEXT = {
@@ -91,13 +92,11 @@ def rule_total_lines(report: DataFrame) -> DataFrame:
 
 def rule_tiles(report: DataFrame, highlights: dict[str, str] = fixed.HEADLINE_RULES) -> DataFrame:
     """One tile per listed rule, zero where the rule changed nothing."""
-    wanted = report.sparkSession.createDataFrame(
-        [(i, r, label) for i, (r, label) in enumerate(highlights.items(), 1)],
-        "position bigint, rule string, label string",
-    )
+    tiles = [(i, rule, label) for i, (rule, label) in enumerate(highlights.items(), 1)]
+    wanted = literal_rows(report.sparkSession, ("position", "rule", "label"), tiles)
     totals = report.groupBy("rule").agg(F.sum("changed").alias("changed"))
     return wanted.join(totals, "rule", "left").select(
-        "position", "rule", "label", F.coalesce("changed", F.lit(0)).cast("bigint").alias("changed")
+        F.col("position").cast("bigint").alias("position"), "rule", "label", F.coalesce("changed", F.lit(0)).cast("bigint").alias("changed")
     )
 
 

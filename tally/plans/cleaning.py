@@ -38,6 +38,12 @@ RESULT_COLUMNS = {
     "proficiency_band": "proficiency",
     "test_year": "test_year",
 }
+PARTICIPATION_COLUMNS = {
+    "student_id": "student_id",
+    "domain": "domain",
+    "participation_code": "participation_code",
+    "cal_year": "cal_year",
+}
 SCHOOL_COLUMNS = {
     "acara_id": "school_id",
     "school_name": "school_name",
@@ -141,71 +147,45 @@ class Cleaned:
     report: DataFrame
 
 
-def _rename(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    return df.select([F.col(a).alias(b) for a, b in columns.items()])
-
-
-def _audited(df: DataFrame, rules) -> audit.Audited:
-    """Apply the rules once and keep values and counters as a written table.
+def _distinct(raw: DataFrame, rules, columns: dict[str, str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct clean rows and their report, from one pass over the raw feed.
 
-    The table and the report both read it, so the raw text is parsed one time.
+    The rules' counters are summed while copies collapse, so one shuffle and one
+    written table serve both the rows and every count.
     """
-    done = audit.apply_rules(df, rules)
-    return audit.Audited(stage(done.df, "audited"), done.rules, done.columns)
-
-
-def _counted(tidy: DataFrame) -> DataFrame:
-    """Distinct rows with their copies, written once for the table and the report."""
-    return stage(rows.with_copies(tidy), "distinct")
+    done = audit.apply_rules(raw, rules)
+    tidy = done.df.select(*[F.col(a).alias(b) for a, b in columns.items()], *done.flags)
+    counted = stage(rows.with_copies(tidy, done.flags), name)
+    report = audit.union_reports(audit.rule_report(counted, rules, summed=True), rows.copies_report(counted, name))
+    return counted.select(*columns.values()), report
 
 
 def clean_students(raw: DataFrame) -> Cleaned:
     """One row per student; a conflict keeps the lowest school id."""
-    done = _audited(raw, STUDENT_RULES)
-    counted = _counted(_rename(done.df, STUDENT_COLUMNS))
-    unique = counted.drop(rows.COPIES)
-    report = audit.union_reports(
-        done.report(),
-        rows.copies_report(counted, "students"),
-        rows.conflict_report(unique, "student_id", "school_id", ascending=True),
-    )
-    return Cleaned(rows.resolve_conflicts(unique, "student_id", "school_id", ascending=True), report)
+    unique, report = _distinct(raw, STUDENT_RULES, STUDENT_COLUMNS, "students")
+    conflicts = rows.conflict_report(unique, "student_id", "school_id", ascending=True)
+    table = rows.resolve_conflicts(unique, "student_id", "school_id", ascending=True)
+    return Cleaned(table, report.unionByName(conflicts))
 
 
 def clean_participation(raw: DataFrame) -> Cleaned:
-    done = _audited(raw, PARTICIPATION_RULES)
-    counted = _counted(done.df.select("student_id", "domain", "participation_code", "cal_year"))
-    report = audit.union_reports(done.report(), rows.copies_report(counted, "participation"))
-    return Cleaned(counted.drop(rows.COPIES), report)
+    return Cleaned(*_distinct(raw, PARTICIPATION_RULES, PARTICIPATION_COLUMNS, "participation"))
 
 
 def clean_results(raw: DataFrame, participation: Cleaned) -> Cleaned:
     """One row per result; a refusal's scores are zero whatever was delivered."""
-    done = _audited(raw, RESULT_RULES)
-    counted = _counted(_rename(done.df, RESULT_COLUMNS))
-    unique = counted.drop(rows.COPIES)
-    overridden = stage(reshape.zero_refused(unique, participation.table), "overridden")
-    report = audit.union_reports(
-        done.report(),
-        rows.copies_report(counted, "results"),
-        participation.report,
-        reshape.refused_report(overridden),
-    )
+    unique, report = _distinct(raw, RESULT_RULES, RESULT_COLUMNS, "results")
+    overridden = reshape.zero_refused(unique, participation.table)
+    report = audit.union_reports(report, participation.report, reshape.refused_report(overridden))
     return Cleaned(overridden.select(*unique.columns), report)
 
 
 def clean_schools(raw: DataFrame, non_schools=fixed.NON_SCHOOL_IDS) -> Cleaned:
     """Real schools only."""
-    done = _audited(raw, SCHOOL_RULES)
-    counted = _counted(_rename(done.df, SCHOOL_COLUMNS))
-    unique = counted.drop(rows.COPIES)
+    unique, report = _distinct(raw, SCHOOL_RULES, SCHOOL_COLUMNS, "schools")
     listed = F.col("school_id").isin(*non_schools)
-    report = audit.union_reports(
-        done.report(),
-        rows.copies_report(counted, "schools"),
-        audit.count_row(unique, "drop_non_schools", "school_id", F.count_if(listed), "pseudo/home"),
-    )
-    return Cleaned(rows.exclude_ids(unique, "school_id", non_schools), report)
+    dropped = audit.count_row(unique, "drop_non_schools", "school_id", F.count_if(listed), "pseudo/home")
+    return Cleaned(rows.exclude_ids(unique, "school_id", non_schools), report.unionByName(dropped))
 
 
 def run_cleaning(feeds: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:

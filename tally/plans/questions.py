@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tally import fixed
 from tally.functions.sqltext import screen
 from tally.operators.routing import Template, nearest, route
+from tally.session import literal_rows
 
 ROW_LIMIT = 1000
 MIN_GROUP = 20
@@ -136,7 +137,7 @@ class Answer:
 
 def screen_one(spark: SparkSession, sql: str | None, extra_words=()) -> tuple[bool, str, str]:
     """``(ok, sql, reason)`` of a single statement."""
-    one = spark.createDataFrame([(sql,)], "sql string").select(screen(F.col("sql"), extra_words).alias("s"))
+    one = literal_rows(spark, ("sql",), [(sql or "",)]).select(screen(F.col("sql"), extra_words).alias("s"))
     verdict = one.first()["s"]
     return verdict["ok"], verdict["sql"], verdict["reason"]
 
@@ -184,7 +185,7 @@ def answer_question(
     spark: SparkSession, question: str, tables: dict[str, str], templates=TEMPLATES, row_limit: int = ROW_LIMIT
 ) -> Answer:
     """Answer from the prepared questions, or show the closest ones."""
-    asked = spark.createDataFrame([(question,)], "question string")
+    asked = literal_rows(spark, ("question",), [(question,)])
     sql = route(asked, "question", templates).first()["sql"]
     if sql is None:
         close = nearest(asked, "question", templates).orderBy("place").collect()

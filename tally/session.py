@@ -6,8 +6,10 @@ import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the jobs are designed around. All are runtime settings; skew-join
 # splitting is what keeps a join safe when one key holds a large share of rows.
@@ -68,6 +70,12 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal_rows(spark: SparkSession, names: Sequence[str], rows: Iterable[Sequence]) -> DataFrame:
+    """A few known rows as a frame that stays in the JVM and whose size Catalyst knows."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def is_small(df: DataFrame) -> bool:
     """True where Catalyst's own size estimate allows a broadcast of ``df``.
 

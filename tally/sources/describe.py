@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tally.session import literal_rows
+
 # Meaning of the clean tables' columns.
 COLUMN_NOTES = {
     "student_id": "student identifier, one form across feeds",
@@ -44,7 +46,8 @@ def data_dictionary(tables: Mapping[str, DataFrame], notes: Mapping[str, str] =
         for name, df in tables.items()
         for i, f in enumerate(df.schema.fields, 1)
     ]
-    columns = spark.createDataFrame(rows, "table string, position bigint, column string, type string, description string")
+    columns = literal_rows(spark, ("table", "position", "column", "type", "description"), rows)
+    columns = columns.withColumn("position", F.col("position").cast("bigint"))
     return columns.join(_row_counts(tables), "table", "left")
 
 
