@@ -53,6 +53,12 @@ def unpivot_items(items):
     return reshape.unpivot_items(items, "platform_id")
 
 
+@query("header_domain", "D_items", sql=f"SELECT DISTINCT item, {DOMAIN_SQL} AS domain FROM ({UNPIVOT_SQL.replace('D_items_dup', 'D_items')})")
+def header_domain(items):
+    headers = items.unpivot(["platform_id"], ITEMS, "item", "mark").select("item").distinct()
+    return headers.withColumn("domain", reshape.domain_of(F.col("item")))
+
+
 @query("reshape_paper", "D_items_dup", sql=LONG_SQL)
 def reshape_paper(items):
     return reshape.reshape_paper(items, "platform_id")

@@ -76,6 +76,12 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
     return middle.agg(F.avg("value").alias("median"), F.max("__total").alias("n"))
 
 
+def approx_median(df: DataFrame, column: str, accuracy: int = 10_000) -> DataFrame:
+    """Median within ``n / accuracy`` ranks, from one mergeable sketch."""
+    middle = F.percentile_approx(column, 0.5, accuracy)
+    return df.agg(middle.alias("median"), F.count(column).alias("n"))
+
+
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """First k rows in the given order (per-partition heaps, no full sort)."""
     return df.orderBy(*order).limit(k)

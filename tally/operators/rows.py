@@ -82,7 +82,10 @@ def flag_unmatched(
 
     A null key is unmatched unless the reference holds a null too.
     """
-    known = reference.select(F.col(reference_key).alias("__known"), F.lit(True).alias("__hit")).distinct()
+    known = reference.select(F.col(reference_key).alias("__known")).distinct().withColumn("__hit", F.lit(True))
+    # Null-safe keys are hashed anew, so each side of the join is a plain shuffle.
+    # A join on the partitioning of the distinct keys would save that shuffle but
+    # adaptive execution cannot split a hot key there.
     joined = df.join(known, df[key].eqNullSafe(known["__known"]), "left")
     return joined.select(*[df[c] for c in df.columns], F.col("__hit").isNull().alias(flag))
 
@@ -142,12 +145,14 @@ def prefer_source(
     needed = ours.isNull() | is_lossy(ours)
     theirs = (
         other.select(normalise_id(F.col(other_key).cast("string")).alias("__key"), F.col(other_column).alias("__value"))
+        .filter(F.col("__key").isNotNull())
         .groupBy("__key")
         .agg(F.min("__value").alias("__value"))
     )
     kept = df.filter(~needed).withColumn(flag, F.lit(False))
-    keyed = df.filter(needed).withColumn("__key", normalise_id(F.col(key).cast("string")))
-    filled = keyed.join(theirs, "__key", "left").withColumns(
+    wanting = df.filter(needed).withColumn("__ours", normalise_id(F.col(key).cast("string")))
+    # Null-safe for the reason given in flag_unmatched; their keys are never null.
+    filled = wanting.join(theirs, wanting["__ours"].eqNullSafe(theirs["__key"]), "left").withColumns(
         {column: F.coalesce("__value", ours), flag: F.col("__value").isNotNull()}
     )
     return kept.unionByName(filled.select(*kept.columns))

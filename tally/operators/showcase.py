@@ -64,9 +64,10 @@ def refused_but_attempted(
     limit: int | None = 5,
 ) -> DataFrame:
     """Refused tests that carry a score, next to the score they should have."""
-    refused = participation.filter(F.col(code) == "R").select(key, "domain").distinct()
+    refused = participation.filter(F.col(code) == "R").select(F.col(key).alias("__id"), F.col("domain").alias("__domain")).distinct()
     scored = results.filter(F.col(score).isNotNull() & ~F.col(score).cast("string").isin(*fixed.SENTINELS))
-    met = scored.join(refused, [key, "domain"], "left_semi").select(
+    same = scored[key].eqNullSafe(refused["__id"]) & scored["domain"].eqNullSafe(refused["__domain"])
+    met = scored.join(refused, same, "left_semi").select(
         key, "domain", F.col(score).alias("score_in_results")
     )
     rows = met.distinct().withColumns(

@@ -45,17 +45,25 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 @functools.lru_cache(maxsize=1)
-def _fallback_dir() -> str:
+def _private_dir() -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _private_dir()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    A private folder is used only where the setting is absent, as in a local test.
+    On one machine, and only where the setting is absent, a private folder is used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _fallback_dir()
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(_shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

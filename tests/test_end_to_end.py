@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tally.operators import audit
-from tally.plans import cleaning, vendor
+from tally.plans import analysis, cleaning, quality, vendor
 from tally.session import scratch_path, stage
 from tally.sources import describe, files
 
@@ -152,6 +152,43 @@ def test_marker_plan_finds_the_planted_markers(spark, delivery):
     assert out["MKR-1"] == "lenient" and out["MKR-2"] == "harsh"
 
 
+def test_quality_shows_the_delivery(spark, delivery):
+    feeds = cleaning.read_feeds(spark, delivery)
+    shown = [tuple(r) for r in quality.before_after_examples(feeds).select("rule", "before", "after").collect()]
+    assert ("repair_mojibake", "MÃ¼ller^", "Müller^") in shown and ("blank_placeholders", "unknown", "(null)") in shown
+    assert ("parse_dates", "03/14/2016", "2016-03-14") in shown and ("normalise_id", "0173501", "173501") in shown
+    assert ("recode_sentinels", "999.0", "(null)") in shown and ("canonicalise_code", "Maths", "Numeracy") in shown
+    assert not [r for r in shown if r[1] == "2016-10-08"]
+    assert [tuple(r)[:3] for r in quality.refused_but_attempted(feeds).collect()] == [("R3", "Reading", "7.0")]
+    impact = quality.sentinel_impact(feeds).first()
+    assert (impact["n_sentinel"], impact["n_total"], impact["correct_mean"]) == (3, 5, 6.0)
+
+
+def test_drift_check_finds_the_renamed_key(spark):
+    keys = spark.range(300).select(F.format_string("R%09dK", "id").alias("k"))
+    feeds = {
+        "participation": keys.select(F.col("k").alias("platform_student_id"), F.lit("Reading").alias("domain_name")),
+        "results": keys.select(F.col("k").alias("STUDENT_KEY")),
+    }
+    best = quality.drift_check(feeds).first()
+    assert best["column"] == "student_platform_ref" and best["suggested"] and not best["present"]
+
+
+def test_analysis_plans_on_clean_tables(spark):
+    rows = [(str(i), y, f"s{i % 4}", d, 400.0 + (i * 7 % 50) + (30 if i % 2 else 0)) for i in range(400) for y in (5, 9) for d in ("Reading", "Numeracy")]
+    results = spark.createDataFrame(rows, "student_id string, year_level bigint, school_id string, domain string, scaled_score double")
+    students = spark.createDataFrame([(str(i), "F" if i % 2 else "M") for i in range(399)] + [("399", None)], "student_id string, gender string")
+    schools = spark.createDataFrame([("s0", "A"), ("s1", "B"), ("s2", "B"), ("s3", "C")], "school_id string, school_name string")
+    grid = analysis.gender_gap(results, students, None, None).collect()
+    assert len(grid) == 4 and all(r["is_significant"] and r["n_a"] == 199 and r["n_b"] == 200 for r in grid)
+    one = analysis.gender_gap(results, students).collect()
+    assert [(r["year_level"], r["domain"]) for r in one] == [(9, "Numeracy")]
+    reliable, flagged = analysis.school_ranking(results, schools, min_n=300)
+    assert [r["school_name"] for r in reliable.collect()] == ["B"]
+    assert {r["school_name"] for r in flagged.collect()} == {"A", "C"}
+    assert {r["school_name"]: r["n"] for r in analysis.school_effects(results, schools).collect()} == {"A": 200, "B": 400, "C": 200}
+
+
 # --- sources ----------------------------------------------------------------------
 
 

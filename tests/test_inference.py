@@ -44,6 +44,11 @@ def test_exact_median(spark, either_form, values):
     assert math.isclose(one["median"], statistics.median(values))
 
 
+def test_approximate_median_is_close(spark):
+    one = ranking.approx_median(spark.range(10_001), "id").first()
+    assert abs(one["median"] - 5000) <= 5 and one["n"] == 10_001
+
+
 def test_histogram_shows_empty_bins_and_closes_the_last(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (9.0,), (10.0,), (None,)], "v double")
     out = [tuple(r) for r in ranking.histogram(df, "v", 5).orderBy("bin").collect()]

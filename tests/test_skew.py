@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tally.operators import drift, groups, reshape, rows
-from tally.plans import questions
+from tally.operators import drift, groups, reshape, rows, showcase
+from tally.plans import analysis, questions
 
 N = 60_000
 
@@ -57,6 +57,23 @@ def test_flagging_splits_the_hot_key(small_partitions):
     assert sum(r["id_unmatched"] for r in out) == N // 3
 
 
+def test_listing_refusals_splits_the_hot_key(small_partitions):
+    spark = small_partitions
+    part = hot(spark).select("student_id", "domain", F.lit("R").alias("participation_code"))
+    plan, out = final_plan(showcase.refused_but_attempted(hot(spark).drop("note"), part, limit=None))
+    assert "skew=true" in plan
+    assert len(out) == N - N // 3 + 50 and {r["participation_code"] for r in out} == {"R (refused)"}
+
+
+def test_preferred_source_splits_the_hot_key(small_partitions):
+    spark = small_partitions
+    ours = hot(spark).select("student_id", F.concat("note", F.lit("?")).alias("name"))
+    theirs = hot(spark).select(F.col("student_id").alias("pid"), F.lit("clean").alias("n"))
+    plan, out = final_plan(rows.prefer_source(ours, "student_id", "name", theirs, "pid", "n"))
+    assert "skew=true" in plan
+    assert len(out) == N and all(r["name"] == "clean" and r["name_replaced"] for r in out)
+
+
 def test_reconcile_splits_the_hot_key(small_partitions):
     spark = small_partitions
     vendor = spark.range(N).select(F.col("id").cast("string").alias("PlatformId"), F.lit("Reading").alias("domain"), F.lit(0).alias("raw_score"))
@@ -66,6 +83,16 @@ def test_reconcile_splits_the_hot_key(small_partitions):
     assert len(out) == hot(spark).filter("raw_score > 0").count()
 
 
+def test_gender_gap_splits_the_hot_key(small_partitions):
+    spark = small_partitions
+    results = hot(spark).withColumn("year_level", F.lit(9))
+    students = spark.range(N).select(F.col("id").cast("string").alias("student_id"), F.lit("F").alias("gender"))
+    students = students.union(spark.createDataFrame([("hot", "M")], students.schema))
+    plan, out = final_plan(analysis.gender_gap(results, students, None, None))
+    assert "skew=true" in plan
+    assert [(r["n_a"], r["n_b"]) for r in out] == [(N - N // 3, N // 3)]
+
+
 def test_keeping_one_row_per_hot_key_moves_few_rows(small_partitions):
     spark = small_partitions
     df = rows.resolve_conflicts(hot(spark), "student_id", "scaled_score")
