@@ -79,13 +79,13 @@ SELECT CAST(CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey + 10000000 ELSE o_orde
 FROM {orders} WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')
 """
 
-_MARKS = (("N3Q01", 1, 18), ("N3Q02", 2, 21), ("R3Q01", 3, 24), ("R3Q02", 4, 27), ("L3Q01", 5, 30), ("L3Q26", 6, 33), ("L3Q27", 7, 36))
+MARKS = (("N3Q01", 1, 18), ("N3Q02", 2, 21), ("R3Q01", 3, 24), ("R3Q02", 4, 27), ("L3Q01", 5, 30), ("L3Q26", 6, 33), ("L3Q27", 7, 36))
 
 SQL["D_items"] = (
     "SELECT l_orderkey AS platform_id,\n"
     + ",\n".join(
         f"  CAST(coalesce(max(CASE WHEN l_linenumber = {line} THEN CASE WHEN l_quantity > {cut} THEN 1 ELSE 0 END END), 9) AS BIGINT) AS {name}"
-        for name, line, cut in _MARKS
+        for name, line, cut in MARKS
     )
     + "\nFROM {lineitem} GROUP BY l_orderkey\n"
 )

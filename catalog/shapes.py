@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import _MARKS
+from catalog.fixtures import MARKS
 from catalog.registry import query
 from tally import fixed
 from tally.functions.values import canonicalise_code
 from tally.operators import reshape, showcase
 
-ITEMS = [m[0] for m in _MARKS]
+ITEMS = [m[0] for m in MARKS]
 WARM = {
     "Numeracy": ("N3Q01", "N3Q02"),
     "Reading": ("R3Q01", "R3Q02"),

@@ -22,22 +22,32 @@ OVERLAP_WEIGHT = 0.6
 FORMAT_WEIGHT = 0.15
 SUGGEST_FROM = 0.5
 
+REFERENCE = "__reference"
+
 
 def _key_form(c: Column) -> Column:
     return F.ltrim(trimmed(c), F.lit("0"))
 
 
+def _cells(df: DataFrame) -> DataFrame:
+    """Every non-null cell as ``(column, value)`` text."""
+    text = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+    return text.unpivot([], df.columns, "column", "value").filter(F.col("value").isNotNull())
+
+
+def _count_values(cells: DataFrame) -> DataFrame:
+    counted = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
+    value = F.col("value")
+    return counted.select("column", _key_form(value).alias("value"), fingerprint(value).alias("shape"), "n")
+
+
 def value_counts(df: DataFrame) -> DataFrame:
     """``(column, value, shape, n)`` of the distinct values of every column.
 
     Equal cells collapse before the shuffle; key form and shape are worked out
     once per distinct value after it.
     """
-    cells = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
-    long = cells.unpivot([], df.columns, "column", "value").filter(F.col("value").isNotNull())
-    counted = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    value = F.col("value")
-    return counted.select("column", _key_form(value).alias("value"), fingerprint(value).alias("shape"), "n")
+    return _count_values(_cells(df))
 
 
 def column_shapes(counts: DataFrame) -> DataFrame:
@@ -68,8 +78,10 @@ def score_columns(
     letters: str = "matcher",
 ) -> DataFrame:
     """Name, overlap, format and blended score of every column of a feed."""
-    counts = stage(value_counts(source), "cells")
-    known = stage(value_counts(reference.select(reference_column)), "reference")
+    # The reference travels as one more column, so one shuffle and one table serve both.
+    both = _cells(source).unionByName(_cells(reference.select(F.col(reference_column).alias(REFERENCE))))
+    table = stage(_count_values(both), "cells")
+    counts, known = table.filter(F.col("column") != REFERENCE), table.filter(F.col("column") == REFERENCE)
     ref_shape = column_shapes(known).select("shape").scalar()
     names = literal_rows(source.sparkSession, ("position", "column"), enumerate(source.columns))
     scored = (

@@ -178,7 +178,8 @@ def run_guarded(spark: SparkSession, sql: str, tables: dict[str, str], row_limit
 
 
 def _runs_script(sql: str) -> bool:
-    return re.search(r"(?i)\busing\s*['\"]", sql) is not None
+    """True for ``TRANSFORM ... USING 'command'``; quoted text is left out of the search."""
+    return re.search(r"(?i)\busing\s*['\"]", re.sub("'[^']*'", "''", sql)) is not None
 
 
 def answer_question(

@@ -217,6 +217,37 @@ def test_fit_recovers_parameters_and_abilities(spark):
     assert abs(one["m"]) < 0.1 and one["r"] > 0.7 and one["n"] == 12000
 
 
+def brute_loglik(patterns, slope, difficulty):
+    """Marginal log likelihood by plain loops over patterns, nodes and items."""
+    nodes = [-6 + 0.3 * i for i in range(41)]
+    prior = [math.exp(-x * x / 2) for x in nodes]
+    total = 0.0
+    for pattern, n in patterns:
+        like = 0.0
+        for x, w in zip(nodes, prior):
+            for mark, a, b in zip(pattern, slope, difficulty):
+                p = 1 / (1 + math.exp(-a * (x - b)))
+                w *= p if mark == "1" else 1 - p
+            like += w / sum(prior)
+        total += n * math.log(like)
+    return total
+
+
+def test_fit_is_a_maximum_of_the_brute_force_likelihood(spark):
+    df, items = answers(spark, 1500)
+    patterns = irt.response_patterns(df.filter("g = 'a'").select(irt.pattern_of(items[:5]).alias("pattern")))
+    fit = irt.fit_groups(patterns, 5).first()
+    known = [(r["pattern"], r["n"]) for r in patterns.collect()]
+    best = brute_loglik(known, fit["slope"], fit["difficulty"])
+    assert math.isclose(best, fit["loglik"], rel_tol=1e-9)
+    for values in ("slope", "difficulty"):
+        for j in range(5):
+            for step in (-0.02, 0.02):
+                moved = {k: list(fit[k]) for k in ("slope", "difficulty")}
+                moved[values][j] += step
+                assert brute_loglik(known, moved["slope"], moved["difficulty"]) < best
+
+
 def test_spark_summed_fit_equals_local_fit(spark, monkeypatch):
     df, items = answers(spark, 400)
     patterns = irt.response_patterns(df.select("g", irt.pattern_of(items[:3]).alias("pattern")), ["g"])

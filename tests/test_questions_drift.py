@@ -143,6 +143,12 @@ def test_files_scripts_and_jvm_code_are_out_of_reach(spark, clean_tables, sql):
     assert not answer.ok and answer.rows is None and answer.error and answer.sql
 
 
+def test_the_word_using_in_text_is_no_script(spark, clean_tables):
+    sql = "SELECT count(*) AS n FROM students JOIN results USING (student_id) WHERE gender <> 'using ''x'''"
+    answer = questions.run_guarded(spark, sql, clean_tables)
+    assert answer.ok and answer.rows.first()["n"] > 0
+
+
 def test_guard_leaves_the_session_alone_and_caps_rows(spark, clean_tables):
     before = spark.conf.get("spark.sql.runSQLOnFiles")
     answer = questions.run_guarded(spark, "SELECT * FROM results LIMIT 999999", clean_tables, row_limit=50)
