@@ -37,13 +37,14 @@ def strip_junk(c: Column, junk: str = fixed.JUNK) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Upper-case every letter that follows a non-letter, lower-case the rest."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    capital = F.transform(
-        runs,
-        lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2)))),
-    )
-    return F.array_join(capital, "")
+    """Upper-case every letter that follows a non-letter, lower-case the rest.
+
+    ``initcap`` restarts after a space only, so a marked space is put before each
+    letter that follows a non-letter and taken out again afterwards.
+    """
+    mark = "\x01 "
+    spaced = F.regexp_replace(c, r"(\P{L})(?=\p{L})", f"$1{mark}")
+    return F.replace(F.initcap(spaced), F.lit(mark), F.lit(""))
 
 
 _CASES = {

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tally import fixed
 from tally.functions.sqltext import screen
 from tally.operators.routing import Template, nearest, route
-from tally.session import literal_rows
+from tally.session import literal_rows, tune
 
 ROW_LIMIT = 1000
 MIN_GROUP = 20
@@ -148,7 +148,7 @@ def capped(df: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
 
 def guarded_session(spark: SparkSession, tables: dict[str, str]) -> SparkSession:
     """A session that sees the given parquet tables and cannot open files by name."""
-    session = spark.newSession()
+    session = tune(spark.newSession())
     for name, path in tables.items():
         session.read.parquet(path).createOrReplaceTempView(name)
     session.conf.set("spark.sql.runSQLOnFiles", "false")
