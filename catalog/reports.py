@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.cleaning import CUSTOMER_RULES, JUNK_SQL, PLACEHOLDER_SQL, RECODED_SQL, REPORT_SQL, SEGMENT_SQL, SEGMENTS, customer_report
-from catalog.fixtures import plain
+from catalog.cleaning import JUNK_SQL, PLACEHOLDER_SQL, RECODED_SQL, REPORT_SQL, SEGMENT_SQL, SEGMENTS, customer_report
 from catalog.registry import query
 from tally import fixed
 from tally.functions import naming, text, values

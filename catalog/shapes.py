@@ -11,12 +11,7 @@ from tally.functions.values import canonicalise_code
 from tally.operators import reshape, showcase
 
 ITEMS = [m[0] for m in MARKS]
-WARM = {
-    "Numeracy": ("N3Q01", "N3Q02"),
-    "Reading": ("R3Q01", "R3Q02"),
-    "Spelling": ("L3Q01",),
-    "Grammar and Punctuation": ("L3Q26", "L3Q27"),
-}
+DOMAINS = ("Numeracy", "Reading", "Spelling", "Grammar and Punctuation")
 UNPIVOT_SQL = "UNPIVOT (SELECT DISTINCT * FROM D_items_dup) ON " + ", ".join(ITEMS) + " INTO NAME item VALUE mark"
 DOMAIN_SQL = """CASE WHEN item LIKE 'N%' THEN 'Numeracy' WHEN item LIKE 'R%' THEN 'Reading'
   WHEN CAST(regexp_extract(item, 'Q([0-9]+)', 1) AS INTEGER) BETWEEN 1 AND 6 THEN 'Spelling'
@@ -91,11 +86,11 @@ def reshape_criteria(criteria):
     "pivot_wide",
     "D_totals",
     sql="SELECT student_id, "
-    + ", ".join(f"""max(raw_score) FILTER (WHERE domain = '{d}') AS "{d}" """ for d in WARM)
+    + ", ".join(f"""max(raw_score) FILTER (WHERE domain = '{d}') AS "{d}" """ for d in DOMAINS)
     + " FROM D_totals GROUP BY student_id",
 )
 def pivot_wide(totals):
-    return reshape.pivot_wide(totals, "student_id", list(WARM))
+    return reshape.pivot_wide(totals, "student_id", DOMAINS)
 
 
 @query(
