@@ -1,4 +1,4 @@
 """All queries of this package, by name."""
 
-from tally.llm import quality_rules  # noqa: F401
+from tally.llm import decontaminate, mixing, quality_classifier, quality_rules, token_files  # noqa: F401
 from tally.llm.registry import ORACLES, QUERIES  # noqa: F401
