@@ -32,7 +32,7 @@ from tally.session import stage
 BUCKETS = 1 << 14
 FAMILIES = 3
 MAX_LABELLED = 20_000
-MIN_POSTERIOR = 0.2
+MIN_POSTERIOR = 0.05
 SEED = 7
 BINS = 1_024
 
