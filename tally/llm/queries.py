@@ -1,4 +1,12 @@
 """All queries of this package, by name."""
 
-from tally.llm import decontaminate, mixing, quality_classifier, quality_rules, token_files  # noqa: F401
+from tally.llm import (  # noqa: F401
+    decontaminate,
+    jaccard_join,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    suffix_tree_lm,
+    token_files,
+)
 from tally.llm.registry import ORACLES, QUERIES  # noqa: F401
