@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,11 +96,18 @@ def bitmap_words(df: DataFrame, key: str, log2_bits: int) -> DataFrame:
 def bitmap_array(df: DataFrame, key: str, log2_bits: int) -> np.ndarray:
     """The bitmap of :func:`bitmap_words` as an array; its size is fixed by ``log2_bits`` alone."""
     out = np.zeros(1 << (log2_bits - 6), np.uint64)
-    for row in bitmap_words(df, key, log2_bits).toLocalIterator():
-        out[row["at"]] = np.int64(row["bits"]).view(np.uint64) if hasattr(np.int64(0), "view") else row["bits"]
+    words = bitmap_words(df, key, log2_bits).toArrow()
+    out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that arrays over their words stay small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which 64-bit keys may have been put in; false positives only."""
     slot = keys.astype(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
