@@ -16,17 +16,16 @@ read, so their names may clash.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import SPACES, WordHashes, mixed, table
+from tally.llm.common import mixed, small_batches, table
 from tally.llm.registry import query
+from tally.llm.wordarrays import shape_hashes, word_arrays
 from tally.session import stage
 
 BUCKETS = 1 << 14
@@ -36,40 +35,14 @@ MIN_POSTERIOR = 0.05
 SEED = 7
 BINS = 1_024
 
-_KINDS = (
-    (re.compile(r"[^\W\d_]+"), lambda m: "X" if m[0].isupper() else "Xx" if m[0][0].isupper() else "x"),
-    (re.compile(r"\d+"), lambda m: "9"),
-)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shape_of(word: str) -> str:
-    """``Word,`` -> ``Xx,``; ``A1!!`` -> ``X9!!``; runs of one mark are cut to two."""
-    letters, digits = _KINDS
-    out = digits[0].sub(digits[1], letters[0].sub(letters[1], word))
-    return re.sub(r"(\W)\1+", r"\1\1", out)[:12]
-
-
-class Shapes(WordHashes):
-    """Word -> hash of its shape."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = _SHAPE_HASHES[shape_of(word)]
-        return value
-
-
-_SHAPE_HASHES = WordHashes(limit=1 << 16, seed=1)
 _REPEAT = np.uint64(0x517CC1B727220A95)
 
 
-def ngrams(texts: list[str | None], words: WordHashes, shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket (of all families) and text number of every n-gram of ``texts``."""
-    split = [[w for w in (t or "").translate(SPACES).split(" ") if w] for t in texts]
-    owner = np.repeat(np.arange(len(split)), [len(s) for s in split])
-    flat = [w for s in split for w in s]
-    h, s = words.of(flat), shapes.of(flat)
+def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket (of all families) and row of every n-gram of a text column."""
+    words = word_arrays(column, lower=False)
+    h, s, owner = words.hashes, shape_hashes(words), words.row
     if not len(h):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     again = np.zeros(len(h), bool)
@@ -88,10 +61,9 @@ def ngrams(texts: list[str | None], words: WordHashes, shapes: Shapes) -> tuple[
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task: of each bucket in all texts and in the good ones."""
-    words, shapes = WordHashes(), Shapes()
     raw, good = (np.zeros(FAMILIES * BUCKETS, np.int64) for _ in range(2))
-    for batch in batches:
-        grams, owner = ngrams(batch.column("text").to_pylist(), words, shapes)
+    for batch in small_batches(batches):
+        grams, owner = ngrams(batch.column("text"))
         raw += np.bincount(grams, minlength=len(raw))
         target = np.array(batch.column("good").to_pylist(), bool)
         if target.any():
@@ -117,12 +89,15 @@ class Model:
     def log_weight(self, text: Column) -> Column:
         ratios = self.ratios
 
-        @F.pandas_udf("double")
-        def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            words, shapes = WordHashes(), Shapes()
+        @F.arrow_udf("double")
+        def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in batches:
-                grams, owner = ngrams(texts.tolist(), words, shapes)
-                yield pd.Series(np.bincount(owner, weights=ratios[grams], minlength=len(texts)))
+                sums = []
+                for k in range(0, len(texts), 1_000):
+                    part = texts.slice(k, 1_000)
+                    grams, owner = ngrams(part)
+                    sums.append(np.bincount(owner, weights=ratios[grams], minlength=len(part)))
+                yield pa.array(np.concatenate(sums) if sums else np.empty(0))
 
         return weigh(text)
 

@@ -13,7 +13,6 @@ table gives files without rows. Other columns are not read, so their names may c
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -24,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import table
+from tally.llm.common import small_batches, table
 from tally.llm.registry import query
+from tally.llm.wordarrays import WordArrays, word_arrays
 from tally.session import scratch_path
 
 END_ID = 2
@@ -34,43 +34,55 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 CACHE_CHUNKS = 400_000
 SCHEMA = "part int, doc_id long, start long, n_tokens long, ids array<int>"
-# White space ends a piece of text for the tokenizer; these four are that for Python and for it.
-_BREAKS = {ord(c): " " for c in "\t\n\r"}
+# White space ends a piece of text for the tokenizer, which drops it and never looks across it; these four
+# are that for it and for us.
+_BREAKS = (32, 9, 10, 13)
 
 
-class ChunkCache(dict):
-    """Text between blanks -> its ids. The tokenizer drops white space and never looks across it."""
+class ChunkIds:
+    """Ids of the pieces of text between white space, each encoded when first met; emptied when it holds many."""
 
     def __init__(self, tokenizer_path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.clear()
 
-    def learn(self, chunks: list[list[str]]) -> None:
-        if len(self) > CACHE_CHUNKS:
+    def clear(self) -> None:
+        self.number: dict[int, int] = {}
+        self.ids, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def of(self, words: WordArrays) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all pieces in order, and how many each piece has."""
+        if len(self.number) > CACHE_CHUNKS:
             self.clear()
-        new = list(set(itertools.chain.from_iterable(chunks)).difference(self))
-        for chunk, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[chunk] = tuple(found.ids)
+        seen, first, each = np.unique(words.hashes, return_index=True, return_inverse=True)
+        keys = seen.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.number]
+        if new:
+            found = self.tokenizer.encode_batch([words.text(first[k]) for k in new], add_special_tokens=False)
+            for k in new:
+                self.number[keys[k]] = len(self.number)
+            size = np.array([len(x.ids) for x in found], np.int64)
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x.ids], np.int32)])
+        place = np.array([self.number[h] for h in keys], np.int64)[each]
+        size = self.size[place]
+        begin = np.cumsum(size) - size
+        return self.ids[np.repeat(self.start[place] - begin, size) + np.arange(int(size.sum()))], size
 
 
 def _encoder(tokenizer_path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, start = ChunkCache(tokenizer_path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = [(t or "").translate(_BREAKS).split(" ") for t in batch.column("text").to_pylist()]
-            cache.learn(texts)
-            ids = [
-                np.fromiter(itertools.chain.from_iterable(map(cache.__getitem__, chunks)), np.int32)
-                for chunks in texts
-            ]
-            counts = np.array([len(x) + 1 for x in ids], np.int64)
+        chunks, part, start = ChunkIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        for batch in small_batches(batches):
+            words = word_arrays(batch.column("text"), lower=False, spaces=_BREAKS)
+            ids, size = chunks.of(words)
+            counts = np.bincount(words.row, weights=size, minlength=batch.num_rows).astype(np.int64) + 1
             ends = np.cumsum(counts)
-            flat = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.int32)
-            for x, end in zip(ids, ends):
-                flat[end - 1 - len(x) : end - 1] = x
+            flat = np.insert(ids, (ends - counts) - np.arange(len(counts)) + counts - 1, end_id)
             offsets = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -78,7 +90,7 @@ def _encoder(tokenizer_path: str, end_id: int):
                     batch.column("doc_id"),
                     pa.array(start + ends - counts),
                     pa.array(counts),
-                    pa.ListArray.from_arrays(offsets, pa.array(flat)),
+                    pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32))),
                 ],
                 names=["part", "doc_id", "start", "n_tokens", "ids"],
             )
