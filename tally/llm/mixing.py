@@ -281,9 +281,9 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     pieces = mix(documents, **options).where("words > 0")
     epochs = pieces.groupBy("sid", "bucket", "row", *by_text, "size", "epoch").agg(F.sum("words").alias("k"))
     takes = epochs.groupBy(*by_text).agg(F.array_sort(F.collect_list(F.struct("epoch", "k", "size"))).alias("__takes"))
-    takes = takes.withColumnRenamed("doc_id", "__id")
+    takes = takes.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_hash", "__same")
     texts = documents.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same"))
     joined = texts.join(takes, same).select(*documents.columns, F.explode("__takes").alias("__t"))
     begin = F.slice(
         F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__t")["k"].cast("int")
