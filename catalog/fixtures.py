@@ -109,7 +109,7 @@ SQL["D_criteria"] = (
     "SELECT l_orderkey AS platform_id,\n"
     + ",\n".join(
         f"  CAST(max(CASE WHEN l_linenumber = {line} THEN floor(l_quantity / 8) END) AS BIGINT) AS {name}"
-        for line, name in enumerate(("wr_audience", "wr_text_structure", "wr_ideas", "wr_vocabulary", "wr_cohesion", "wr_spelling"), 1)
+        for line, name in enumerate(("wr_audience", "wr_text_structure", "wr_ideas", "wr_vocabulary", "wr_cohesion", "wr_spelling", "wr_sentence_structure"), 1)
     )
     + "\nFROM {lineitem} GROUP BY l_orderkey\n"
 )

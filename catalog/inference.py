@@ -142,6 +142,27 @@ def group_ranking(lineitem, supplier):
     return groups.group_ranking(supplier_moments(lineitem, supplier), ["school_name"], min_n=600)
 
 
+@query(
+    "reliable_groups",
+    "lineitem",
+    "supplier",
+    sql=f"""WITH g AS ({SUPPLIER_SQL}) SELECT school_name, CAST(n AS BIGINT) AS n, round(mean, 1) AS mean,
+  round(sd / sqrt(n), 1) AS std_error FROM g WHERE n >= 600""",
+)
+def reliable_groups(lineitem, supplier):
+    return groups.reliable_groups(group_ranking(lineitem, supplier), ["school_name"])
+
+
+@query(
+    "flagged_groups",
+    "lineitem",
+    "supplier",
+    sql=f"""WITH g AS ({SUPPLIER_SQL}) SELECT school_name, CAST(n AS BIGINT) AS n, round(mean, 1) AS mean FROM g WHERE n < 600""",
+)
+def flagged_groups(lineitem, supplier):
+    return groups.flagged_groups(group_ranking(lineitem, supplier), ["school_name"])
+
+
 @query(
     "shrinkage",
     "lineitem",

@@ -46,8 +46,9 @@ def scan_typed_csv(items):
     "D_items",
     "D_criteria",
     sql="""SELECT platform_id, N3Q01, N3Q02, R3Q01, R3Q02, L3Q01, L3Q26, L3Q27, CAST(NULL AS BIGINT) AS wr_audience, CAST(NULL AS BIGINT) AS wr_text_structure,
-  CAST(NULL AS BIGINT) AS wr_ideas, CAST(NULL AS BIGINT) AS wr_vocabulary, CAST(NULL AS BIGINT) AS wr_cohesion, CAST(NULL AS BIGINT) AS wr_spelling FROM D_items
-UNION ALL SELECT platform_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, wr_audience, wr_text_structure, wr_ideas, wr_vocabulary, wr_cohesion, wr_spelling FROM D_criteria""",
+  CAST(NULL AS BIGINT) AS wr_ideas, CAST(NULL AS BIGINT) AS wr_vocabulary, CAST(NULL AS BIGINT) AS wr_cohesion, CAST(NULL AS BIGINT) AS wr_spelling,
+  CAST(NULL AS BIGINT) AS wr_sentence_structure FROM D_items
+UNION ALL SELECT platform_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, wr_audience, wr_text_structure, wr_ideas, wr_vocabulary, wr_cohesion, wr_spelling, wr_sentence_structure FROM D_criteria""",
 )
 def scan_many(items, criteria):
     return files.scan_many([items, criteria])

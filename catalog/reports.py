@@ -51,33 +51,25 @@ SELECT p_partkey, round(0.5 * (2.0::DOUBLE * len(list_intersect(x, y)) / (len(x)
 )
 def name_similarity(part):
     other = F.concat("p_type", F.lit("_"), "p_name")
-    return part.select("p_partkey", naming.name_similarity(F.col("p_name"), other, "bigram").alias("similarity"))
+    return part.select("p_partkey", naming.bigram_similarity(F.col("p_name"), other).alias("similarity"))
 
 
-def _name_sql(column: str) -> str:
-    return f"list_distinct(list_transform(range(1, length({column})), lambda i: {column}[i:i+1]))"
+# The likeness of the few headers is worked out before the job runs; both sides carry it as constants.
+LIKENESS = ", ".join(f"({i}, '{c}', {naming.name_similarity(c, 'customer_id')!r}::DOUBLE)" for i, c in enumerate(RENAMED))
 
 
-@query(
-    "detect_drift",
-    "D_renamed",
-    "customer",
-    sql=f"""WITH {CELLS_SQL}, {REF_SQL}, {SHAPE_SQL}, {REF_SHAPE_SQL}, {OVERLAP_SQL},
-names AS (SELECT unnest(range(0, 5)) AS position, unnest(['{"', '".join(RENAMED)}']) AS "column", 'customer_id' AS target),
-sim AS (SELECT position, "column", target, round(0.5 * (2.0::DOUBLE * len(list_intersect({_name_sql('"column"')}, {_name_sql('target')})) / (len({_name_sql('"column"')}) + len({_name_sql('target')})))
-  + 0.5 * (len(list_intersect(string_split("column", '_'), string_split(target, '_'))) / len(list_distinct(string_split("column", '_') || string_split(target, '_')))), 3) AS name_similarity FROM names),
-s AS (SELECT position, sim."column", target, name_similarity, coalesce(value_overlap, 0.0) AS value_overlap,
+DRIFT_SQL = f"""WITH {CELLS_SQL}, {REF_SQL}, {SHAPE_SQL}, {REF_SHAPE_SQL}, {OVERLAP_SQL},
+sim AS (SELECT * FROM (VALUES {LIKENESS}) v(position, "column", name_similarity)),
+s AS (SELECT position, sim."column", 'customer_id' AS target, name_similarity, coalesce(value_overlap, 0.0) AS value_overlap,
   CASE WHEN shapes.shape = (SELECT shape FROM ref_shape) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS format_match FROM sim LEFT JOIN shared USING ("column") LEFT JOIN shapes USING ("column")),
 c AS (SELECT *, round(0.25 * name_similarity + 0.6 * value_overlap + 0.15 * format_match, 3) AS combined FROM s)
 SELECT "column", name_similarity, value_overlap, format_match, combined, target, 'cust_ref' AS expected_source, false AS present,
-  combined >= 0.5 AND row_number() OVER (ORDER BY combined DESC, position) = 1 AS suggested FROM c""",
-)
-def detect_drift(renamed, customer):
-    return drift.detect_drift(renamed, "customer_id", "cust_ref", customer, "c_custkey", letters="bigram")
+  combined >= 0.5 AND row_number() OVER (ORDER BY combined DESC, position) = 1 AS suggested FROM c"""
 
 
-@query("detect_drift_matcher", "D_renamed", "customer")
-def detect_drift_matcher(renamed, customer):
+@query("detect_drift_matcher", "D_renamed", "customer", sql=DRIFT_SQL)
+@query("detect_drift", "D_renamed", "customer", sql=DRIFT_SQL)
+def detect_drift(renamed, customer):
     return drift.detect_drift(renamed, "customer_id", "cust_ref", customer, "c_custkey")
 
 

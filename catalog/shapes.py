@@ -76,12 +76,22 @@ def reshape_report(items):
     "reshape_criteria",
     "D_criteria",
     sql="""SELECT platform_id, 'Writing' AS domain, coalesce(wr_audience, 0) + coalesce(wr_text_structure, 0) + coalesce(wr_ideas, 0)
-  + coalesce(wr_vocabulary, 0) + coalesce(wr_cohesion, 0) + coalesce(wr_spelling, 0) AS raw_score FROM D_criteria""",
+  + coalesce(wr_vocabulary, 0) + coalesce(wr_cohesion, 0) + coalesce(wr_spelling, 0)
+  + coalesce(wr_sentence_structure, 0) AS raw_score FROM D_criteria""",
 )
 def reshape_criteria(criteria):
     return reshape.reshape_writing(criteria, "platform_id")
 
 
+@query(
+    "criteria_report",
+    "D_criteria",
+    sql="""SELECT 'reshape_writing' AS rule, 'criteria' AS "column", count(DISTINCT platform_id) AS changed, 'criterion sum' AS detail FROM D_criteria""",
+)
+def criteria_report(criteria):
+    return reshape.criteria_report(criteria, "platform_id")
+
+
 @query(
     "pivot_wide",
     "D_totals",

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tally import fixed
 
@@ -33,12 +32,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf(DoubleType())
-def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of two names. Runs on one row per column of a feed."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
 def bigram_dice(a: Column, b: Column) -> Column:
     """Share of common letter pairs, from built-in functions only."""
 
@@ -50,15 +43,16 @@ def bigram_dice(a: Column, b: Column) -> Column:
     return 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
 
 
-def name_similarity(a: Column, b: Column, letters: str = "matcher") -> Column:
-    """Half letter likeness, half shared words, three decimals.
+def bigram_similarity(a: Column, b: Column) -> Column:
+    """Half common letter pairs, half shared words, three decimals; for names in rows."""
+    return F.round(0.5 * bigram_dice(F.lower(a), F.lower(b)) + 0.5 * jaccard(_name_tokens(a), _name_tokens(b)), 3)
+
 
-    ``letters`` picks the first half: ``matcher`` (matching blocks) or ``bigram``
-    (letter pairs, which keeps the whole expression in the JVM).
-    """
-    measure = {"matcher": matcher_ratio, "bigram": bigram_dice}[letters]
-    likeness = measure(F.lower(a), F.lower(b))
-    return F.round(0.5 * likeness + 0.5 * jaccard(_name_tokens(a), _name_tokens(b)), 3)
+def name_similarity(a: str, b: str) -> float:
+    """Half matching blocks, half shared words, three decimals; for headers, which are known before a job runs."""
+    a, b = a.lower(), b.lower()
+    x, y = (set(re.split(r"[_\s]+", name)) for name in (a, b))
+    return round(0.5 * SequenceMatcher(None, a, b).ratio() + 0.5 * len(x & y) / len(x | y), 3)
 
 
 def fingerprint(c: Column) -> Column:

@@ -130,6 +130,20 @@ def count_row(df: DataFrame, rule: str, column: str, changed: Column, detail: st
     )
 
 
+def report_rows(df: DataFrame, *rows: tuple[str, str, Column, str]) -> DataFrame:
+    """Report rows ``(rule, column, changed, detail)`` made from the columns of a one-row frame."""
+    made = [
+        F.struct(
+            F.lit(rule).alias("rule"),
+            F.lit(column).alias("column"),
+            F.coalesce(changed, F.lit(0)).cast("bigint").alias("changed"),
+            F.lit(detail).alias("detail"),
+        )
+        for rule, column, changed, detail in rows
+    ]
+    return df.select(F.inline(F.array(*made)))
+
+
 def union_reports(*reports: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 

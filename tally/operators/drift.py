@@ -75,22 +75,30 @@ def score_columns(
     target: str,
     reference: DataFrame,
     reference_column: str,
-    letters: str = "matcher",
+    min_distinct: int = MIN_DISTINCT,
 ) -> DataFrame:
     """Name, overlap, format and blended score of every column of a feed."""
     # The reference travels as one more column, so one shuffle and one table serve both.
     both = _cells(source).unionByName(_cells(reference.select(F.col(reference_column).alias(REFERENCE))))
     table = stage(_count_values(both), "cells")
-    counts, known = table.filter(F.col("column") != REFERENCE), table.filter(F.col("column") == REFERENCE)
-    ref_shape = column_shapes(known).select("shape").scalar()
-    names = literal_rows(source.sparkSession, ("position", "column"), enumerate(source.columns))
+    # A value's columns meet in one group, and whether the reference is among them is known there.
+    per_value = table.groupBy("value").agg(F.collect_set("column").alias("columns"))
+    known = F.array_contains("columns", REFERENCE)
+    found = per_value.select(F.explode("columns").alias("column"), known.cast("int").alias("known"))
+    share = F.round(F.sum("known") / F.count("*"), 3)
+    overlaps = found.groupBy("column").agg(
+        F.when(F.count("*") < min_distinct, F.lit(0.0)).otherwise(share).alias("value_overlap")
+    )
+    signals = stage(column_shapes(table).join(overlaps, "column"), "signals")
+    ref_shape = signals.filter(F.col("column") == REFERENCE).select("shape").scalar()
+    headers = [(i, c, name_similarity(c, target)) for i, c in enumerate(source.columns)]
+    names = literal_rows(source.sparkSession, ("position", "column", "name_similarity"), headers)
     scored = (
-        names.join(column_overlaps(counts, known), "column", "left")
-        .join(column_shapes(counts), "column", "left")
+        names.join(signals, "column", "left")
         .select(
             "position",
             "column",
-            name_similarity(F.col("column"), F.lit(target), letters).alias("name_similarity"),
+            "name_similarity",
             F.coalesce("value_overlap", F.lit(0.0)).alias("value_overlap"),
             F.when(F.coalesce("shape", F.lit("")) == F.coalesce(ref_shape, F.lit("")), 1.0)
             .otherwise(0.0)
@@ -112,7 +120,6 @@ def detect_drift(
     reference: DataFrame,
     reference_column: str,
     threshold: float = SUGGEST_FROM,
-    letters: str = "matcher",
 ) -> DataFrame:
     """Ranked candidates for ``target``, with the report's verdict on every row.
 
@@ -120,7 +127,7 @@ def detect_drift(
     score reaches the threshold.
     """
     present = expected in source.columns
-    scored = score_columns(source, target, reference, reference_column, letters)
+    scored = score_columns(source, target, reference, reference_column)
     # One row per header of the feed, so the ranking is a small sort.
     first = F.row_number().over(Window.orderBy(F.desc("combined"), "position")) == 1
     suggested = F.lit(not present) & first & (F.col("combined") >= threshold)

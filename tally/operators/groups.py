@@ -32,11 +32,18 @@ def group_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def merge_moments(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merge moments of finer groups into coarser ones."""
-    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
-    spread = F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean"))
+    """Merge moments of finer groups into coarser ones.
+
+    Means enter as distances from the mean of all, so that a large common level
+    does not swallow the spread.
+    """
+    df = stage(df, "moments")
+    centre = F.coalesce(df.select(F.sum(F.col("n") * F.col("mean")) / F.sum("n")).scalar(), F.lit(0.0))
+    off = F.col("mean") - centre
+    n, away = F.sum("n"), F.sum(F.col("n") * off) / F.sum("n")
+    spread = F.sum(F.col("m2") + F.col("n") * off * off) - n * away * away
     return df.groupBy(*keys).agg(
-        n.alias("n"), mean.alias("mean"), F.greatest(spread - n * mean * mean, F.lit(0.0)).alias("m2")
+        n.alias("n"), (centre + away).alias("mean"), F.greatest(spread, F.lit(0.0)).alias("m2")
     )
 
 

@@ -1,9 +1,8 @@
 """Order over a whole table without passing it through one task.
 
 A window without partition keys sends every row to a single task. Here rows are
-range-partitioned on the full sort key, written once, and numbered inside their
-partition; a handful of partition counts supplies the offsets. Only an input that
-is small by Catalyst's own estimate takes the one-task form.
+range-partitioned on the full sort key, sorted inside their range, numbered as they
+stand and written once; a handful of range counts supplies the offsets.
 """
 
 from __future__ import annotations
@@ -13,13 +12,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.session import is_small, stage
+from tally.session import stage
+
+# The median is looked for between two percentiles this far to either side of it. Their
+# rank error is a tenth of that, so the middle is always inside.
+BRACKET = 1e-5
+ACCURACY = 1_000_000
 
 
 def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """``df`` with ``__part``, the number of its range in the given order."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    """``df`` in the given order, with ``__part``, the number of its range, and ``__local``, its place in it from 1.
+
+    The number of ranges is left to adaptive execution. Row ids count up inside a
+    partition and carry its number in their upper bits.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stage(ordered.withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    return ranged.withColumns(
+        {"__part": F.shiftright("__at", 33), "__local": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1}
+    ).drop("__at")
 
 
 def _with_offset(ranged: DataFrame, size: Column) -> DataFrame:
@@ -42,38 +53,37 @@ def global_row_number(df: DataFrame, *order: Column, name: str = "rank", total:
     End the order with a unique column: it makes the numbering repeatable and
     lets ranges split rows that tie on the leading columns.
     """
-    if is_small(df):
-        extra = {total: F.count("*").over(Window.partitionBy())} if total else {}
-        return df.withColumns({name: F.row_number().over(Window.orderBy(*order)).cast("bigint"), **extra})
-    ranged = _ranged(df, order)
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    numbered = _with_offset(ranged.withColumn("__local", local), F.count("*"))
+    numbered = _with_offset(_ranged(df, order), F.count("*"))
     rank = (F.col("__before") + F.col("__local")).cast("bigint")
     extra = [F.col("__total").alias(total)] if total else []
     return numbered.select(*df.columns, rank.alias(name), *extra)
 
 
 def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """Exact median as one row ``(median, n)``.
+    """Exact median as one row ``(median, n)``: a double, null where there are no values, and their number.
 
-    Equal values collapse to a count before the shuffle; the middle is then found
-    from running counts over value ranges.
+    Two percentiles with a known rank error bracket the middle. What lies below is
+    counted, what lies between collapses to counts, and only that is put in order.
     """
-    if is_small(df):
-        return df.agg(F.median(column).alias("median"), F.count(column).alias("n"))
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    ranged = _ranged(counts, [F.col("value")])
+    values = df.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
+    ends = F.percentile_approx("value", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY)
+    bracket = stage(values.agg(ends.alias("ends"), F.count("*").alias("n")), "bracket")
+    low, high = (bracket.select(F.col("ends")[i]).scalar() for i in (0, 1))
+    inside = F.when(F.col("value") >= low, F.col("value"))
+    counts = stage(values.filter(F.col("value") <= high).groupBy(inside.alias("value")).agg(F.count("*").alias("n")), "near")
+    below = F.coalesce(counts.filter("value IS NULL").select(F.sum("n")).scalar(), F.lit(0))
+    ranged = _ranged(counts.filter("value IS NOT NULL"), [F.col("value")])
     running = Window.partitionBy("__part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    upto = _with_offset(ranged.withColumn("__local", F.sum("n").over(running)), F.sum("n"))
-    upto = upto.withColumn("last", F.col("__before") + F.col("__local"))
-    total = F.col("__total")
-    low, high = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
+    upto = _with_offset(ranged.withColumn("__upto", F.sum("n").over(running)), F.sum("n"))
+    total = bracket.select("n").scalar()
+    last = below + F.col("__before") + F.col("__upto")
+    first, second = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
 
     def holds(rank: Column) -> Column:
-        return (F.col("last") >= rank) & (F.col("last") - F.col("n") < rank)
+        return (last >= rank) & (last - F.col("n") < rank)
 
-    middle = upto.filter(holds(low) | holds(high))
-    return middle.agg(F.avg("value").alias("median"), F.max("__total").alias("n"))
+    middle = upto.filter(holds(first) | holds(second))
+    return middle.agg(F.avg("value").alias("median")).select("median", total.alias("n"))
 
 
 def approx_median(df: DataFrame, column: str, accuracy: int = 10_000) -> DataFrame:

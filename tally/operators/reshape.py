@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tally import fixed
 from tally.functions.values import recode_not_attempted
-from tally.operators.audit import count_row, union_reports
+from tally.operators.audit import count_row, report_rows
 from tally.operators.rows import first_per_key
 
 
@@ -94,22 +94,36 @@ def reshape_writing(
 
 
 def paper_report(df: DataFrame, id_column: str = "PlatformId") -> DataFrame:
-    """Report rows of ``reshape_paper``: copies dropped, marks recoded, rows made."""
+    """Report rows of ``reshape_paper``: copies dropped, marks recoded, rows made.
+
+    The row kept of each id carries how many rows the id had, so one pass gives all three.
+    """
     items = item_columns(df)
-    per_id = df.groupBy(id_column).agg((F.count("*") - 1).alias("extra"))
     nines = reduce(add, [F.when(F.col(c) == fixed.NOT_ATTEMPTED, 1).otherwise(0) for c in items])
-    one_each = first_per_key(df, id_column)
     n_domains = len({header_domain(c) for c in items})
-    return union_reports(
-        count_row(per_id, "reshape_paper.dedup", id_column, F.sum("extra"), "duplicate student rows"),
-        count_row(one_each, "reshape_paper.recode_sentinel", "vendor items", F.sum(nines), "9 -> 0"),
-        count_row(per_id, "reshape_paper.melt", "vendor", F.count(id_column) * n_domains, "wide -> long"),
+    # The row that first_per_key keeps: the least in all other columns, nulls last.
+    order = [x for c in df.columns if c != id_column for x in (F.col(c).isNull(), F.col(c))]
+    per_id = df.select(id_column, F.struct(*order, nines.alias("nines")).alias("row")).groupBy(id_column)
+    one = per_id.agg((F.count("*") - 1).alias("extra"), F.min("row")["nines"].alias("nines")).agg(
+        F.sum("extra").alias("extra"), F.sum("nines").alias("nines"), F.count(id_column).alias("ids")
+    )
+    return report_rows(
+        one,
+        ("reshape_paper.dedup", id_column, F.col("extra"), "duplicate student rows"),
+        ("reshape_paper.recode_sentinel", "vendor items", F.col("nines"), "9 -> 0"),
+        ("reshape_paper.melt", "vendor", F.col("ids") * n_domains, "wide -> long"),
     )
 
 
+def criteria_report(df: DataFrame, id_column: str = "PlatformId") -> DataFrame:
+    """Report row of ``reshape_writing``: rows made, one for each id."""
+    ids = df.filter(F.col(id_column).isNotNull()).select(id_column).distinct()
+    return count_row(ids, "reshape_writing", "criteria", F.count("*"), "criterion sum")
+
+
 def pivot_wide(df: DataFrame, id_column: str, domains: Sequence[str], value: str = "raw_score") -> DataFrame:
     """One row per id, one column per listed domain."""
-    return df.groupBy(id_column).pivot("domain", list(domains)).agg(F.max(value))
+    return df.groupBy(id_column).agg(*[F.max(F.when(F.col("domain") == d, F.col(value))).alias(d) for d in domains])
 
 
 def response_matrix(df: DataFrame, id_column: str, domain: str) -> DataFrame:

@@ -138,14 +138,16 @@ def prefer_source(
     """Take the other feed's value where ours is missing or lossy.
 
     Keys meet in their normalised form. Only rows that need a value are joined, so
-    the rest of the table is not shuffled; the other feed is reduced to one value
-    per key first, so the join cannot fan out.
+    the rest of the table is not shuffled; the other feed is cut to the keys that are
+    wanted and reduced to one value per key, so the join cannot fan out.
     """
     ours, flag = F.col(column), f"{column}_replaced"
     needed = ours.isNull() | is_lossy(ours)
+    wanted = df.filter(needed).select(normalise_id(F.col(key).cast("string")).alias("__key")).distinct()
     theirs = (
         other.select(normalise_id(F.col(other_key).cast("string")).alias("__key"), F.col(other_column).alias("__value"))
         .filter(F.col("__key").isNotNull())
+        .join(wanted, "__key", "left_semi")
         .groupBy("__key")
         .agg(F.min("__value").alias("__value"))
     )

@@ -82,14 +82,3 @@ def literal_rows(spark: SparkSession, names: Sequence[str], rows: Iterable[Seque
     """A few known rows as a frame that stays in the JVM and whose size Catalyst knows."""
     structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True where Catalyst's own size estimate allows a broadcast of ``df``.
-
-    Used to pick a one-task form of an operator; the distributed form takes over
-    beyond it. The estimate comes from file sizes and starts no job.
-    """
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit

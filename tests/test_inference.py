@@ -9,24 +9,10 @@ from pyspark.sql import functions as F
 
 from tally.functions.inference import t_quantile
 from tally.operators import groups, irt, markers, ranking, sentinels
-from tally.session import is_small, stage
+from tally.session import stage
 
 
-@pytest.fixture(params=["one task", "ranges"])
-def either_form(request, spark):
-    """Run with the one-task form for small inputs, and with it switched off."""
-    key = "spark.sql.autoBroadcastJoinThreshold"
-    if request.param == "ranges":
-        spark.conf.set(key, "-1")
-    yield request.param
-    spark.conf.unset(key)
-
-
-def test_forms_are_picked_by_size(spark, either_form):
-    assert is_small(spark.range(10)) is (either_form == "one task")
-
-
-def test_global_rank_matches_sort_with_hot_value(spark, either_form):
+def test_global_rank_matches_sort_with_hot_value(spark):
     values = [(i, 7.0 if i % 3 == 0 else float(i * 37 % 101)) for i in range(3000)]
     df = stage(spark.createDataFrame(values, "id int, v double").repartition(8))
     ranked = ranking.global_row_number(df, F.desc("v"), F.col("id"), total="n").collect()
@@ -37,13 +23,36 @@ def test_global_rank_matches_sort_with_hot_value(spark, either_form):
 
 
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0] * 40 + [1.0, 9.0, 11.0], list(np.random.default_rng(1).normal(size=501))])
-def test_exact_median(spark, either_form, values):
+def test_exact_median(spark, values):
     df = stage(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double"))
     one = ranking.exact_median(df, "v").first()
     assert one["n"] == len(values)
     assert math.isclose(one["median"], statistics.median(values))
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(14,2)", "int"])
+def test_median_has_one_schema(spark, kind):
+    few = spark.createDataFrame([(4,), (None,), (1,), (3,), (2,)], "v int").select(F.col("v").cast(kind).alias("v"))
+    none = few.filter("v IS NULL")
+    for df, want in ((few, (2.5, 4)), (none, (None, 0)), (few.limit(0), (None, 0))):
+        out = ranking.exact_median(df, "v")
+        assert out.dtypes == [("median", "double"), ("n", "bigint")] and tuple(out.first()) == want
+
+
+def test_median_of_many_and_of_a_hot_value(spark):
+    wide = spark.range(200_001).select(((F.col("id") * 7919) % 200_001).alias("v"))
+    assert tuple(ranking.exact_median(wide, "v").first()) == (100_000.0, 200_001)
+    hot = wide.select(F.when(F.col("v") % 3 == 0, 150_000).otherwise(F.col("v")).alias("v"))
+    values = sorted(150_000 if v % 3 == 0 else v for v in range(200_001))
+    assert ranking.exact_median(hot, "v").first()["median"] == values[100_000]
+
+
+def test_moments_merge_far_from_zero(spark):
+    df = spark.createDataFrame([(g, "a", 1e9 + v) for g in range(100) for v in range(7)], "id int, k string, v double")
+    one = groups.merge_moments(groups.group_moments(df, ["id", "k"], "v"), ["k"]).first()
+    assert one["n"] == 700 and math.isclose(one["m2"], 2800.0, rel_tol=1e-9) and math.isclose(one["mean"], 1e9 + 3, rel_tol=1e-12)
+
+
 def test_approximate_median_is_close(spark):
     one = ranking.approx_median(spark.range(10_001), "id").first()
     assert abs(one["median"] - 5000) <= 5 and one["n"] == 10_001
@@ -58,7 +67,7 @@ def test_histogram_shows_empty_bins_and_closes_the_last(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 8, 9, 100, 1234])
-def test_spaced_sample_positions(spark, either_form, n):
+def test_spaced_sample_positions(spark, n):
     df = spark.range(n).select(F.col("id"), (F.col("id") * 1.5).alias("theta"))
     out = ranking.spaced_sample(df, F.desc("theta"), F.col("id")).orderBy("rank").collect()
     k = min(8, n)

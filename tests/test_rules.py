@@ -15,17 +15,17 @@ def through(spark, fn, items, kind="string"):
 
 
 CASES = [
-    (text.repair_mojibake, ["MÃ¼ller", "RenÃ©e", "Oâ€™Brien", "Jos?", "Ren�e", None],
-     ["Müller", "Renée", "O'Brien", "Jos?", "Ren�e", None]),
+    (text.repair_mojibake, ["KÃ¼hn", "AimÃ©e", "Dâ€™Arcy", "Chlo?", "Zo�", None],
+     ["Kühn", "Aimée", "D'Arcy", "Chlo?", "Zo�", None]),
     (text.blank_placeholders, [" N/A ", "NULL", "Unknown", "\t-\t", "", "Ava ", None],
      [None, None, None, None, None, "Ava ", None]),
-    (text.strip_junk, ["A^li", "Kelly>", "O'Brien", "Ren?e", "a[b]|\\c/", "Renée-Ann"],
-     ["Ali", "Kelly", "O'Brien", "Ren?e", "abc", "Renée-Ann"]),
+    (text.strip_junk, ["Mi^ra", "Tomas>", "D'Arcy", "Chlo?", "x[y]|\\z/", "Zoë-Ida"],
+     ["Mira", "Tomas", "D'Arcy", "Chlo?", "xyz", "Zoë-Ida"]),
     (lambda c: text.trim_case(c, "upper"), ["\t p ", "\xa0q　", None], ["P", "Q", None]),
-    (lambda c: text.trim_case(c, "title"), [" st mark's o'brien-LEE", "élan VITAL"], ["St Mark'S O'Brien-Lee", "Élan Vital"]),
-    (lambda c: text.trim_case(c, "initcap"), [" st mark's"], ["St Mark's"]),
-    (text.normalise_id, ["0173501", "0000", "", " 09 ", "K01", None], ["173501", "0", "0", "9", "K01", None]),
-    (text.pad_code, ["899", "0899", "12345", "", None], ["0899", "0899", "12345", "0000", None]),
+    (lambda c: text.trim_case(c, "title"), [" old miller's d'arcy-WEST", "éclair NOIR"], ["Old Miller'S D'Arcy-West", "Éclair Noir"]),
+    (lambda c: text.trim_case(c, "initcap"), [" old miller's"], ["Old Miller's"]),
+    (text.normalise_id, ["0042917", "0000", "", " 07 ", "Q20", None], ["42917", "0", "0", "7", "Q20", None]),
+    (text.pad_code, ["614", "0614", "70252", "", None], ["0614", "0614", "70252", "0000", None]),
     (values.recode_sentinels, ["27", "999", "-1", "999.0", " 9999 ", "500.5", "999.00", None],
      ["27", None, None, None, None, "500.5", "999.00", None]),
     (values.coerce_numeric, ["5", " 5.5 ", "absent", "1d", "1f", ".5", "-2e3", "NaN", "", None],
@@ -35,9 +35,9 @@ CASES = [
     (values.parse_dates,
      ["2016-10-08", "14/03/2016", "03/04/2016", "03/14/2016", "14-Mar-16", "14-MAR-97", "1/2/2016", "31/02/2016", "not-a-date", "2016-13-01", "14/03-2016", None],
      ["2016-10-08", "2016-03-14", "2016-04-03", "2016-03-14", "2016-03-14", "1997-03-14", "2016-02-01", None, None, None, None, None]),
-    (text.is_lossy, ["Ren?e", "Ren�e", "Renée", None], [True, True, False, False]),
-    (text.is_odd_name, ["O'Brien-Lée X", "A^li", None], [False, True, False]),
-    (naming.fingerprint, ["R938098930K", "a-1"], ["A999999999A", "A-9"]),
+    (text.is_lossy, ["Chlo?", "Zo�", "Zoë", None], [True, True, False, False]),
+    (text.is_odd_name, ["D'Arcy-Noë W", "Mi^ra", None], [False, True, False]),
+    (naming.fingerprint, ["Q204417Z", "b-7"], ["A999999A", "A-9"]),
 ]
 
 
