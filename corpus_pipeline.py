@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tally.llm.common import table
+from tally.llm.common import small_arrow, table
 from tally.llm.decontaminate import clean_documents
 from tally.llm.jaccard_join import one_of_each
 from tally.llm.mixing import mixed_documents
@@ -24,11 +24,12 @@ ORACLE_SQL = None
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the quality classifier keeps."""
-    return good_documents(docs, table(spark, sf_dir, "labels"))
+    return good_documents(docs, table(small_arrow(spark), sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_arrow(spark)
     return one_of_each(docs)
 
 
@@ -44,6 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and per row of it where its ids stand."""
+    small_arrow(spark)
     return encoded(docs)
 
 

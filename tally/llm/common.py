@@ -101,6 +101,12 @@ def bitmap_array(df: DataFrame, key: str, log2_bits: int) -> np.ndarray:
     return out
 
 
+def small_arrow(spark: SparkSession) -> SparkSession:
+    """Send texts to Python a thousand at a time, so that neither side holds many of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that arrays over their words stay small."""
     for batch in batches:
