@@ -3,7 +3,7 @@
 A document is the set of its distinct word shingles; texts with equal sets are one class, and only
 classes are joined. Shingles are ordered by how full their bucket of a corpus-wide count is, rarest
 first (any order that all documents share gives right results). Two sets link only if their prefixes
-share a shingle; lengths, positions in the order and a 32-way partition of what follows bound the
+share a shingle; lengths, positions in the order and a 64-way partition of the sets bound the
 overlap of such a pair from above, and what passes is verified on the whole sets.
 
 Links are wanted for their components, so pairs inside one component need no look: in each group of
@@ -19,31 +19,41 @@ gives an empty table. Other columns are not read, so their names may clash.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import WordHashes, bitmap_array, in_bitmap, shingle_hashes, split_words, table
+from tally.llm.common import bitmap_array, in_bitmap, small_batches, table
 from tally.llm.registry import query
+from tally.llm.wordarrays import window_hashes, word_arrays
 from tally.session import stage
 
 WIDTH = 5
 PERCENT = 75
-RARITY_BITS = 18
-SLICE = 1 << 12
-STAR_ROUNDS = 3
-BITMAP_BITS = 24
-SUFFIX_PARTS = 32
-
-
-def shingle_set(text: str | None, words: WordHashes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    return np.unique(shingle_hashes(words.of(split_words(text)), WIDTH))
+RARITY_BITS = 22
+SLICE = 1 << 16
+STAR_ROUNDS = 2
+# Bits of the bitmaps of shingles that may be shared and of texts whose sets are wanted; false positives cost time only.
+SHARED_BITS = 26
+TEXT_BITS = 22
+SUFFIX_PARTS = 64
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    windows, at = window_hashes(word_arrays(column), WIDTH)
+    out = []
+    for a, b in zip(at[:-1], at[1:]):
+        s = np.sort(windows[a:b])
+        fresh = np.ones(len(s), bool)
+        np.not_equal(s[1:], s[:-1], out=fresh[1:])
+        out.append(s[fresh])
+    return out
 
 
 def _fingerprint(shingles: np.ndarray) -> int:
@@ -52,58 +62,61 @@ def _fingerprint(shingles: np.ndarray) -> int:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text, and at the end of the task its bucket counts in slices of fixed length."""
-    names = ["doc_id", "text_hash", "n", "f", "slice", "counts"]
-    words, counts = WordHashes(), np.zeros(1 << RARITY_BITS, np.int64)
+    names = ["doc_id", "text_hash", "n", "f", "parts", "slice", "counts"]
+    counts = np.zeros(1 << RARITY_BITS, np.int32)
     mask = np.uint64(len(counts) - 1)
-    for batch in batches:
-        n, f, seen = [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingle_set(text, words)
-            seen.append(s & mask)
-            n.append(len(s))
-            f.append(_fingerprint(s) if len(s) else None)
-        if seen:
-            counts += np.bincount(np.concatenate(seen).astype(np.int64), minlength=len(counts))
-        k = len(n)
+    kind = pa.list_(pa.int32())
+    for batch in small_batches(batches):
+        sets = shingle_sets(batch.column("text"))
+        place, times = np.unique(np.concatenate(sets) & mask, return_counts=True)
+        counts[place.astype(np.int64)] += times.astype(np.int32)
+        k = len(sets)
+        parts = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SUFFIX_PARTS).astype(np.int32) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(f, pa.int64()),
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array(parts, kind),
              pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
             names=names,
         )
-    parts = counts.reshape(-1, SLICE)
-    k = len(parts)
+    slices = counts.reshape(-1, SLICE)
+    k = len(slices)
+    none = pa.nulls(k, pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-         pa.array(np.arange(k, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())],
+        [none, none, none, none, pa.nulls(k, kind), pa.array(np.arange(k, dtype=np.int32)),
+         pa.array([zlib.compress(p.tobytes(), 1) for p in slices], pa.binary())],
         names=names,
     )
 
 
-def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SLICE, np.int64)
-    for counts in rows["counts"]:
-        total += np.frombuffer(counts, np.int64)
-    return pd.DataFrame({"slice": [key[0]], "counts": [total.tobytes()]})
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the counts of each slice, as rarity: steps of a twelfth of an octave."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts")):
+            more = np.frombuffer(zlib.decompress(counts.as_py()), np.int32)
+            total[k] = total[k] + more if k in total else more.astype(np.int64)
+    ranks = [np.floor(12 * np.log2(t + 1.0)).astype(np.uint16).tobytes() for t in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["slice", "ranks"])
 
 
 def rarity_table(profile: DataFrame) -> np.ndarray:
-    """How often each bucket of shingles occurs, in steps of a twelfth of an octave; of fixed length."""
-    sums = profile.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice")
-    out = np.zeros((1 << RARITY_BITS) // SLICE * SLICE, np.int64).reshape(-1, SLICE)
-    for row in sums.applyInPandas(_added, "slice int, counts binary").toLocalIterator():
-        out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return np.floor(12 * np.log2(out.ravel() + 1.0)).astype(np.uint16)
+    """How often each bucket of shingles occurs, on a log scale; of fixed length."""
+    sums = profile.where("slice IS NOT NULL").select("slice", "counts").repartition("slice")
+    out = np.zeros((1 << RARITY_BITS) // SLICE * SLICE, np.uint16).reshape(-1, SLICE)
+    for row in sums.mapInArrow(_added, "slice int, ranks binary").toLocalIterator():
+        out[row["slice"]] = np.frombuffer(row["ranks"], np.uint16)
+    return out.ravel()
 
 
-def _prefixes(rarity: np.ndarray):
+def _prefixes(rarity: np.ndarray, shared: np.ndarray | None):
+    """Prefix shingles of each set; with ``shared``, only those that the bitmap says another set may have, too."""
     mask = np.uint64(len(rarity) - 1)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done = WordHashes(), set()
-        for batch in batches:
-            keys, owners, sizes, places = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, words)
+        done = set()
+        for batch in small_batches(batches):
+            keys, owners, sizes, places = ([np.empty(0, t)] for t in (np.int64, np.int64, np.int32, np.int32))
+            for s in shingle_sets(batch.column("text")):
                 n = len(s)
                 f = _fingerprint(s)
                 if not n or f in done:  # copies within a task have the same rows
@@ -112,38 +125,36 @@ def _prefixes(rarity: np.ndarray):
                 k = n - (PERCENT * n + 99) // 100 + 1
                 rank = rarity[(s & mask).astype(np.int64)]
                 # s ascends, so a stable sort by rarity orders by rarity, then hash.
-                first = s[np.argsort(rank, kind="stable")[:k]]
-                keys.append(first.view(np.int64))
-                owners.append(np.full(k, f, np.int64))
-                sizes.append(np.full(k, n, np.int32))
-                places.append(np.arange(k, dtype=np.int32))
-            if keys:
-                columns = [np.concatenate(x) for x in (keys, owners, sizes, places)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "f", "n", "pos"])
+                first = s[np.argsort(rank, kind="stable")[:k]].view(np.int64)
+                at = np.arange(k, dtype=np.int32)
+                if shared is not None:
+                    some = in_bitmap(shared, first)
+                    first, at = first[some], at[some]
+                keys.append(first)
+                owners.append(np.full(len(first), f, np.int64))
+                sizes.append(np.full(len(first), n, np.int32))
+                places.append(at)
+            columns = [np.concatenate(x) for x in (keys, owners, sizes, places)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "f", "n", "pos"])
 
     return prefixes
 
 
 def _sets(bitmap: np.ndarray):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done = WordHashes(), set()
-        for batch in batches:
+        done = set()
+        for batch in small_batches(batches):
             keys = batch.column("text_hash").to_numpy(zero_copy_only=False)
             found = []
-            for text in batch.filter(pa.array(in_bitmap(bitmap, keys))).column("text").to_pylist():
-                s = shingle_set(text, words)
+            for s in shingle_sets(batch.filter(pa.array(in_bitmap(bitmap, keys))).column("text")):
                 f = _fingerprint(s)
                 if len(s) and f not in done:
                     done.add(f)
-                    found.append((f, s))
-            if found:
-                parts = [np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=SUFFIX_PARTS) for _, s in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f for f, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int32()),
-                     pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())),
-                     pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))],
-                    names=["f", "n", "parts", "shingles"],
-                )
+                    found.append((f, s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))],
+                names=["f", "shingles"],
+            )
 
     return sets
 
@@ -160,17 +171,23 @@ def _may_link(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
     return lengths & (most >= _needed(na, nb))
 
 
+def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Each pair with the columns of both its sets, named ``_a`` and ``_b``."""
+    for x in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("f").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+    return pairs
+
+
+def suffix_filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sets could overlap enough, by their lengths and by how many shingles each has in every part of the hash range."""
+    bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return _sides(pairs, classes, "n", "parts").where(bound >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a, b``) that link: suffix filter on the partition counts, then the whole sets."""
-    side = lambda x, *cols: sets.select(F.col("f").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    bound = F.aggregate(
-        F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x
-    )
-    near = pairs.join(side("a", "n", "parts"), "a").join(side("b", "n", "parts"), "b")
-    near = near.where(bound >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b")
-    full = near.join(side("a", "n", "shingles"), "a").join(side("b", "n", "shingles"), "b")
+    """The pairs (``a, b``) that link, on the whole sets."""
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    full = full.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), both.alias("both"))
+    full = _sides(pairs, sets, "shingles").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), both.alias("both"))
     return full.where(100 * F.col("both") >= PERCENT * (F.col("n") - F.col("both"))).select("a", "b")
 
 
@@ -198,18 +215,24 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _star(rows: DataFrame, order: Column) -> DataFrame:
+def _star(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs of each set with one set of those that share its shingle and are about as long, if in another component."""
     key = ["h", "about"]
-    rows = rows.withColumn("about", F.floor(F.log("n") / np.log(100 / PERCENT)))
-    hub = rows.groupBy(*key).agg(F.min(F.struct(order.alias("o"), "f", "n", "pos", "comp")).alias("hub"))
-    paired = rows.join(hub, key).where(F.col("comp") != F.col("hub.comp"))
-    paired = paired.where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-    return paired.select(F.least("f", "hub.f").alias("a"), F.greatest("f", "hub.f").alias("b")).distinct()
+    rows = rows.select("h", F.floor(F.log("n") / np.log(100 / PERCENT)).cast("int").alias("about"), "f", "comp")
+    # Fingerprints are random, and so is their order under a mask; each turn has another.
+    mask = F.lit((0x9E3779B97F4A7C15 * turn) % (1 << 63))
+    hub = rows.groupBy(*key).agg(
+        F.min(F.col("f").bitwiseXOR(mask)).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    )
+    hub = hub.where("low < high").select(*key, F.col("hub").bitwiseXOR(mask).alias("hub"))
+    paired = rows.join(hub, key).where("f <> hub").select(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b"))
+    return paired.distinct()
 
 
 def _rest(rows: DataFrame) -> DataFrame:
     """All pairs of sets in different components that share a shingle and pass the filters."""
+    mixed_ = rows.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h")
+    rows = rows.join(mixed_, "h")
     x, y = rows.alias("x"), rows.alias("y")
     differ = (F.col("x.h") == F.col("y.h")) & (F.col("x.f") < F.col("y.f")) & (F.col("x.comp") != F.col("y.comp"))
     near = _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
@@ -219,41 +242,46 @@ def _rest(rows: DataFrame) -> DataFrame:
 def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents (``doc_id, text_hash, n, f``) and the component (``v, root``) of each set that links."""
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    profile = stage(
-        docs.select("doc_id", "text_hash", "text").mapInArrow(
-            _profile, "doc_id long, text_hash long, n long, f long, slice int, counts binary"
-        ),
-        "profile",
-    )
+    schema = "doc_id long, text_hash long, n long, f long, parts array<int>, slice int, counts binary"
+    profile = stage(docs.mapInArrow(_profile, schema), "profile")
     rarity = rarity_table(profile)
     rows = profile.where("slice IS NULL").select("doc_id", "text_hash", "n", "f")
-    prefix = stage(docs.select("text").mapInArrow(_prefixes(rarity), "h long, f long, n int, pos int"), "prefix")
-    often = prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    shared = stage(prefix.join(often, "h").distinct(), "shared")
-    wanted = shared.select("f").distinct()
-    texts = rows.join(wanted, "f", "left_semi").groupBy("f").agg(F.min("text_hash").alias("text_hash"))
-    bitmap = bitmap_array(texts, "text_hash", BITMAP_BITS)
-    sets = stage(
-        docs.select("text_hash", "text")
-        .mapInArrow(_sets(bitmap), "f long, n int, parts array<int>, shingles array<long>")
-        .dropDuplicates(["f"]),
-        "sets",
+    classes = profile.where("n > 0").groupBy("f").agg(
+        F.first("n").alias("n"), F.first("parts").alias("parts"), F.min("text_hash").alias("text_hash")
     )
-    links = tried = comps = None
+    schema = "h long, f long, n int, pos int"
+    keys = docs.select("text").mapInArrow(_prefixes(rarity, None), schema)
+    often = bitmap_array(keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h", SHARED_BITS)
+    shared = stage(docs.select("text").mapInArrow(_prefixes(rarity, often), schema).distinct(), "shared")
+    del keys, rarity, often
+    links = tried = comps = sets = None
     for turn in range(STAR_ROUNDS + 1):
         if comps is None:
             placed = shared.withColumn("comp", F.col("f"))
         else:
             placed = shared.join(comps.withColumnRenamed("v", "f"), "f", "left")
             placed = placed.withColumn("comp", F.coalesce("root", "f")).drop("root")
-        pairs = _rest(placed) if turn == STAR_ROUNDS else _star(placed, F.xxhash64(F.lit(turn), "f"))
+        pairs = _rest(placed) if turn == STAR_ROUNDS else _star(placed, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        found = stage(verified(pairs, sets), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        comps = stage(components(links), "components")
+        near = stage(suffix_filtered(pairs, classes), "near")
+        wanted = near.select(F.col("a").alias("f")).union(near.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets, "f", "left_anti")
+        texts = classes.join(wanted, "f", "left_semi").select("text_hash")
+        bitmap = bitmap_array(texts, "text_hash", TEXT_BITS)
+        if bitmap.any():
+            more = docs.select("text_hash", "text").mapInArrow(_sets(bitmap), "f long, shingles array<long>")
+            more = stage(more.join(wanted, "f", "left_semi").dropDuplicates(["f"]), "sets")
+            sets = more if sets is None else sets.union(more)
+        if sets is not None:
+            found = stage(verified(near, sets), "links")
+            links = found if links is None else links.union(found)
+            comps = stage(components(links), "components")
+        near = near.select("a", "b")
+        tried = near if tried is None else tried.union(near)
+    if comps is None:
+        comps = rows.where("false").select(F.col("f").alias("v"), F.col("f").alias("root"))
     return rows, comps
 
 
