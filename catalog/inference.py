@@ -8,6 +8,7 @@ from catalog.registry import query
 from tally.functions.inference import t_terms
 from tally.operators import groups, irt, markers, ranking
 from tally.plans import questions
+from tally.session import stage
 
 ANSWER_ITEMS = [f"N3Q0{i}" for i in range(1, 8)]
 
@@ -223,25 +224,26 @@ def response_patterns(frame):
 
 
 def fitted(frame):
-    patterns = irt.response_patterns(answers_of(frame), ["segment"])
-    return patterns, irt.fit_groups(patterns, len(ANSWER_ITEMS), ["segment"])
+    answers = stage(answers_of(frame), "answers")
+    patterns = stage(irt.response_patterns(answers, ["segment"]), "patterns")
+    return answers, patterns, irt.fit_groups(patterns, ["segment"])
 
 
 @query("irt_items", "D_answers")
 def irt_items(frame):
-    return irt.item_parameters(fitted(frame)[1], ANSWER_ITEMS, ["segment"])
+    return irt.item_parameters(fitted(frame)[2], ANSWER_ITEMS, ["segment"])
 
 
 @query("irt_statistics", "D_answers")
 def irt_statistics(frame):
-    return irt.fit_statistics(fitted(frame)[1], ["segment"])
+    return irt.fit_statistics(fitted(frame)[2], ["segment"])
 
 
 @query("irt_ability", "D_answers")
 def irt_ability(frame):
-    patterns, fits = fitted(frame)
+    answers, patterns, fits = fitted(frame)
     known = irt.pattern_abilities(patterns, fits, ["segment"])
-    return irt.person_abilities(answers_of(frame), known, "platform_id", ["segment"])
+    return irt.person_abilities(answers, known, "platform_id", ["segment"])
 
 
 @query(

@@ -1,11 +1,11 @@
 """Two-parameter logistic item response fits on response patterns.
 
 Persons collapse to answer patterns and their counts in one aggregation, so a
-fit never sees persons. Up to ``LOCAL_ITEMS`` items there are at most
-``2**LOCAL_ITEMS`` patterns per group and each group is fitted by one task, all
-groups in parallel. With more items patterns are no longer bounded: each round's
-expected counts are then summed by Spark over all patterns, and only items times
-nodes numbers per group reach the update step.
+fit never sees persons. The caller picks the form: ``grouped`` fits each group in
+one task, all groups in parallel, which suits some dozen items (k items make at
+most ``2**k`` patterns a group); ``summed`` has Spark add up each round's expected
+counts over all patterns, and only items times nodes numbers per group reach the
+update step. Both give the same fit and say whether it settled, after how many rounds.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from tally.operators.reshape import item_columns
 from tally.operators.rows import first_per_key
 from tally.session import stage
 
-LOCAL_ITEMS = 12
 NODES = np.linspace(-6.0, 6.0, 41)
 PRIOR = np.exp(-0.5 * NODES**2) / np.exp(-0.5 * NODES**2).sum()
 SLOPE_BOUNDS = (0.05, 5.0)
@@ -113,17 +112,17 @@ def _settled(old, new) -> bool:
     return max(np.abs(old[0] - new[0]).max(), np.abs(old[1] - new[1]).max()) < TOLERANCE
 
 
-def _fit_group(patterns: Sequence[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _fit_group(patterns: Sequence[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int, bool]:
     marks = _as_marks(patterns)
     params = _start(counts @ marks / counts.sum())
-    for _ in range(MAX_ROUNDS):
+    for rounds in range(1, MAX_ROUNDS + 1):  # noqa: B007
         right, persons, _loglik = _expected(marks, counts, *params)
         new = _update(right, persons, *params)
         done = _settled(params, new)
         params = new
         if done:
             break
-    return *params, _expected(marks, counts, *params)[2]
+    return *params, _expected(marks, counts, *params)[2], rounds, done
 
 
 # --- Spark side ---------------------------------------------------------------
@@ -138,22 +137,28 @@ def _fit_schema(patterns: DataFrame, segments: Sequence[str]) -> T.StructType:
             T.StructField("difficulty", arrays),
             T.StructField("loglik", T.DoubleType()),
             T.StructField("n_persons", T.LongType()),
+            T.StructField("rounds", T.IntegerType()),
+            T.StructField("converged", T.BooleanType()),
         ]
     )
 
 
-def fit_groups(patterns: DataFrame, n_items: int, segments: Sequence[str] = ()) -> DataFrame:
-    """One row per group: slopes, difficulties, log likelihood and persons."""
-    if n_items > LOCAL_ITEMS:
+def fit_groups(patterns: DataFrame, segments: Sequence[str] = (), form: str = "grouped") -> DataFrame:
+    """One row per group: slopes, difficulties, log likelihood, persons, rounds and whether the fit settled.
+
+    ``form`` is ``grouped`` or ``summed``, see above.
+    """
+    if form == "summed":
         return stage(_fit_wide(stage(patterns, "patterns"), segments), "fits")
     names = list(segments)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("pattern")
         counts = ordered["n"].to_numpy(dtype=float)
-        slope, difficulty, loglik = _fit_group(ordered["pattern"].tolist(), counts)
+        slope, difficulty, loglik, rounds, done = _fit_group(ordered["pattern"].tolist(), counts)
         row = {s: ordered[s].iloc[0] for s in names}
         row |= {"slope": slope, "difficulty": difficulty, "loglik": loglik, "n_persons": int(counts.sum())}
+        row |= {"rounds": rounds, "converged": done}
         return pd.DataFrame([row])
 
     return stage(patterns.groupBy(*names).applyInPandas(fit, _fit_schema(patterns, names)), "fits")
@@ -174,7 +179,7 @@ def _fit_wide(patterns: DataFrame, segments: Sequence[str]) -> DataFrame:
         .toPandas()
     )
     params = {k: _start(g["share"].to_numpy()) for k, g in shares.groupby("__key")}
-    for _ in range(MAX_ROUNDS):
+    for rounds in range(1, MAX_ROUNDS + 1):  # noqa: B007
         sums = _expected_counts(keyed, params)
         new = {k: _update(right, persons, *params[k]) for k, (right, persons, _l) in sums.items()}
         done = all(_settled(params[k], new[k]) for k in params)
@@ -185,7 +190,9 @@ def _fit_wide(patterns: DataFrame, segments: Sequence[str]) -> DataFrame:
     rows = [(k, *[x.tolist() for x in params[k]], final[k][2]) for k in params]
     fitted = spark.createDataFrame(rows, "__key string, slope array<double>, difficulty array<double>, loglik double")
     groups = keyed.groupBy(*names, "__key").agg(F.sum("n").alias("n_persons"))
-    return groups.join(fitted, "__key").select(*names, "slope", "difficulty", "loglik", "n_persons")
+    told = {"rounds": F.lit(rounds), "converged": F.lit(bool(done))}
+    columns = [*names, "slope", "difficulty", "loglik", "n_persons", "rounds", "converged"]
+    return groups.join(fitted, "__key").withColumns(told).select(*columns)
 
 
 def _expected_counts(keyed: DataFrame, params: dict) -> dict:
@@ -242,6 +249,30 @@ def fit_statistics(fits: DataFrame, segments: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def expected_ability(pattern: Column, slope: Column, difficulty: Column) -> Column:
+    """Mean of the ability nodes, weighed by how likely each makes the pattern."""
+    marks = F.filter(F.split(pattern, ""), lambda m: m != "")
+    items = F.arrays_zip(marks.alias("mark"), slope.alias("slope"), difficulty.alias("difficulty"))
+
+    def log_weight(node: float, prior: float) -> Column:
+        def add(total: Column, item: Column) -> Column:
+            p = 1 / (1 + F.exp(-item["slope"] * (F.lit(node) - item["difficulty"])))
+            p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+            return total + F.when(item["mark"] == "1", F.log(p)).otherwise(F.log(1 - p))
+
+        return F.aggregate(items, F.lit(float(np.log(prior))), add)
+
+    logs = F.array(*[log_weight(float(x), float(w)) for x, w in zip(NODES, PRIOR)])
+
+    def mean(lw: Column) -> Column:
+        weights = F.transform(lw, lambda x: F.exp(x - F.array_max(lw)))
+        nodes = F.array(*[F.lit(float(x)) for x in NODES])
+        sums = [F.aggregate(v, F.lit(0.0), lambda t, x: t + x) for v in (F.zip_with(weights, nodes, lambda w, x: w * x), weights)]
+        return sums[0] / sums[1]
+
+    return F.element_at(F.transform(F.array(logs), mean), 1)
+
+
 def pattern_abilities(patterns: DataFrame, fits: DataFrame, segments: Sequence[str] = ()) -> DataFrame:
     """Expected ability of every pattern under its group's fit.
 
@@ -254,16 +285,8 @@ def pattern_abilities(patterns: DataFrame, fits: DataFrame, segments: Sequence[s
     else:
         fit = fits.select(F.struct("slope", "difficulty")).scalar()
         joined = known.withColumns({"slope": fit["slope"], "difficulty": fit["difficulty"]})
-
-    def theta(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, group in batch.groupby(names) if names else [((), batch)]:
-                slope, difficulty = (np.asarray(group[c].iloc[0]) for c in ("slope", "difficulty"))
-                weight, _loglik = _posterior(_as_marks(group["pattern"]), slope, difficulty)
-                yield group[[*names, "pattern", "n"]].assign(ability=weight @ NODES)
-
-    schema = T.StructType([*known.schema.fields, T.StructField("ability", T.DoubleType())])
-    return stage(joined.mapInPandas(theta, schema), "abilities")
+    ability = expected_ability(F.col("pattern"), F.col("slope"), F.col("difficulty"))
+    return stage(joined.select(*names, "pattern", "n", ability.alias("ability")), "abilities")
 
 
 def person_abilities(

@@ -175,7 +175,8 @@ def clean_participation(raw: DataFrame) -> Cleaned:
 def clean_results(raw: DataFrame, participation: Cleaned) -> Cleaned:
     """One row per result; a refusal's scores are zero whatever was delivered."""
     unique, report = _distinct(raw, RESULT_RULES, RESULT_COLUMNS, "results")
-    overridden = reshape.zero_refused(unique, participation.table)
+    # Read by the table and by the report.
+    overridden = stage(reshape.zero_refused(unique, participation.table), "overridden")
     report = audit.union_reports(report, participation.report, reshape.refused_report(overridden))
     return Cleaned(overridden.select(*unique.columns), report)
 

@@ -45,8 +45,8 @@ def reconcile_vendor(vendor: DataFrame, results: DataFrame, tolerance: float = 0
     )
 
 
-def fit_paper(paper: Mapping[int, DataFrame], id_column: str = "PlatformId") -> dict[str, DataFrame]:
-    """All level-by-domain fits as one grouped job: items, statistics, abilities."""
+def fit_paper(paper: Mapping[int, DataFrame], id_column: str = "PlatformId", form: str = "grouped") -> dict[str, DataFrame]:
+    """All level-by-domain fits in one job: items, statistics, abilities. ``form`` as in ``irt.fit_groups``."""
     segments = ["year_level", "domain"]
     answers = stage(
         scan_many(
@@ -61,7 +61,7 @@ def fit_paper(paper: Mapping[int, DataFrame], id_column: str = "PlatformId") ->
         here = (F.col("year_level") == level) & (F.col("domain") == domain)
         labels = F.when(here, F.array(*[F.lit(c) for c in columns])).otherwise(labels)
     patterns = stage(irt.response_patterns(answers, segments), "patterns")
-    fits = irt.fit_groups(patterns, max(map(len, headers.values())), segments)
+    fits = irt.fit_groups(patterns, segments, form)
     known = irt.pattern_abilities(patterns, fits, segments)
     return {
         "items": irt.item_parameters(fits, labels, segments),

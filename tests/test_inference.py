@@ -213,7 +213,7 @@ def test_fit_recovers_parameters_and_abilities(spark):
     known = df.select("id", "g", "theta", irt.pattern_of(items).alias("pattern"))
     patterns = irt.response_patterns(known, ["g"])
     assert patterns.count() <= 2 * 2 ** len(items)
-    fits = irt.fit_groups(patterns, len(items), ["g"])
+    fits = irt.fit_groups(patterns, ["g"])
     for group in ("a", "b"):
         rows = irt.item_parameters(fits, items, ["g"]).filter(F.col("g") == group).orderBy("item").collect()
         assert np.abs(np.array([r["difficulty"] for r in rows]) - HARD).max() < 0.25
@@ -245,7 +245,7 @@ def brute_loglik(patterns, slope, difficulty):
 def test_fit_is_a_maximum_of_the_brute_force_likelihood(spark):
     df, items = answers(spark, 1500)
     patterns = irt.response_patterns(df.filter("g = 'a'").select(irt.pattern_of(items[:5]).alias("pattern")))
-    fit = irt.fit_groups(patterns, 5).first()
+    fit = irt.fit_groups(patterns).first()
     known = [(r["pattern"], r["n"]) for r in patterns.collect()]
     best = brute_loglik(known, fit["slope"], fit["difficulty"])
     assert math.isclose(best, fit["loglik"], rel_tol=1e-9)
@@ -261,16 +261,17 @@ def test_spark_summed_fit_equals_local_fit(spark, monkeypatch):
     df, items = answers(spark, 400)
     patterns = irt.response_patterns(df.select("g", irt.pattern_of(items[:3]).alias("pattern")), ["g"])
     monkeypatch.setattr(irt, "MAX_ROUNDS", 6)
-    local = irt.fit_groups(patterns, 3, ["g"]).orderBy("g").collect()
-    wide = irt.fit_groups(patterns, irt.LOCAL_ITEMS + 1, ["g"]).orderBy("g").collect()
+    local = irt.fit_groups(patterns, ["g"]).orderBy("g").collect()
+    wide = irt.fit_groups(patterns, ["g"], form="summed").orderBy("g").collect()
     for a, b in zip(local, wide):
         assert a["g"] == b["g"] and a["n_persons"] == b["n_persons"]
+        assert (a["rounds"], a["converged"]) == (b["rounds"], b["converged"]) == (6, False)
         assert np.allclose(a["slope"], b["slope"]) and np.allclose(a["difficulty"], b["difficulty"])
         assert math.isclose(a["loglik"], b["loglik"], rel_tol=1e-9)
 
 
 def test_extreme_items_stay_bounded(spark):
     rows = [("1" + str(i % 2) + "0", 50) for i in range(2)]
-    fits = irt.fit_groups(spark.createDataFrame(rows, "pattern string, n bigint"), 3)
+    fits = irt.fit_groups(spark.createDataFrame(rows, "pattern string, n bigint"))
     row = fits.first()
     assert all(np.isfinite(row["slope"])) and all(abs(d) <= 6 for d in row["difficulty"])
