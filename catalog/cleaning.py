@@ -294,18 +294,33 @@ def customer_report(customers):
     return audit.apply_rules(customers, CUSTOMER_RULES).report()
 
 
+FULL_REPORT_SQL = (
+    REPORT_SQL
+    + """, dup AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM D_orders_dup)) AS changed FROM D_orders_dup),
+both_parts AS (SELECT * FROM report UNION ALL SELECT 'drop_exact_duplicates', 'orders', changed, '' FROM dup)"""
+)
+TOTAL_SQL = "SELECT 'total values changed', '', CAST(sum(changed) AS BIGINT), '' FROM both_parts"
+
+
+def both_reports(customers, orders):
+    return audit.union_reports(customer_report(customers), rows.duplicate_report(orders, "orders"))
+
+
+@query("clean_report", "D_customer", "D_orders_dup", sql=f"{FULL_REPORT_SQL} SELECT * FROM both_parts UNION ALL {TOTAL_SQL}")
+def clean_report(customers, orders):
+    return audit.with_total(both_reports(customers, orders))
+
+
 @query(
-    "clean_report",
+    "summary_lines",
     "D_customer",
     "D_orders_dup",
-    sql=REPORT_SQL
-    + """, dup AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM D_orders_dup)) AS changed FROM D_orders_dup),
-both_parts AS (SELECT * FROM report UNION ALL SELECT 'drop_exact_duplicates', 'orders', changed, '' FROM dup)
-SELECT * FROM both_parts UNION ALL SELECT 'total values changed', '', CAST(sum(changed) AS BIGINT), '' FROM both_parts""",
+    sql=f"""{FULL_REPORT_SQL}, lines(rule, col, changed, detail) AS (SELECT * FROM both_parts UNION ALL {TOTAL_SQL})
+SELECT format('{{:<44}} {{:>10}}{{}}', CASE WHEN col = '' THEN rule ELSE rule || ' (' || col || ')' END, format('{{:,}}', changed),
+  CASE WHEN detail = '' THEN '' ELSE '  - ' || detail END) AS line FROM lines""",
 )
-def clean_report(customers, orders):
-    both = audit.union_reports(customer_report(customers), rows.duplicate_report(orders, "orders"))
-    return audit.with_total(both)
+def summary_lines(customers, orders):
+    return audit.summary_lines(both_reports(customers, orders))
 
 
 @query(
