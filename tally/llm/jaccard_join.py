@@ -305,13 +305,11 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """
     found = near_duplicates(documents).where("component IS NOT NULL")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    kept = found.groupBy("component").agg(F.min(first).alias("k")).select(
-        F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")
-    )
-    hashed = documents.withColumn("__h", F.xxhash64("text"))
+    kept = found.groupBy("component").agg(F.min(first).alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("__row"))
+    hashed = documents.withColumn("__row", F.xxhash64("doc_id", F.xxhash64("text")))
     some = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))
-    stay = hashed.where(some).join(kept, same, "left_semi").dropDuplicates(["doc_id", "__h"])
+    # One key for the join and for repeated rows: texts are shuffled once.
+    stay = hashed.where(some).join(kept, "__row", "left_semi").dropDuplicates(["__row"])
     return stay.union(hashed.where(~some)).select(*documents.columns)
 
 

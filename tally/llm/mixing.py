@@ -277,14 +277,12 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     A document taken twice has two rows. The last text of a source may be cut after some of its words;
     ``n_chars`` is its length then. Columns and their order are those of ``documents``.
     """
-    by_text = ["doc_id", "text_hash"]
-    pieces = mix(documents, **options).where("words > 0")
-    epochs = pieces.groupBy("sid", "bucket", "row", *by_text, "size", "epoch").agg(F.sum("words").alias("k"))
-    takes = epochs.groupBy(*by_text).agg(F.array_sort(F.collect_list(F.struct("epoch", "k", "size"))).alias("__takes"))
-    takes = takes.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_hash", "__same")
-    texts = documents.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same"))
-    joined = texts.join(takes, same).select(*documents.columns, F.explode("__takes").alias("__t"))
+    pieces = mix(documents, **options).where("words > 0").withColumn("__row", F.xxhash64("doc_id", "text_hash"))
+    epochs = pieces.groupBy("sid", "bucket", "row", "__row", "size", "epoch").agg(F.sum("words").alias("k"))
+    takes = epochs.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("epoch", "k", "size"))).alias("__takes"))
+    # One key for repeated rows and for the join: texts are shuffled once.
+    texts = documents.withColumn("__row", F.xxhash64("doc_id", F.xxhash64("text"))).dropDuplicates(["__row"])
+    joined = texts.join(takes, "__row").select(*documents.columns, F.explode("__takes").alias("__t"))
     begin = F.slice(
         F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__t")["k"].cast("int")
     )
