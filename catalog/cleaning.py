@@ -9,6 +9,7 @@ from tally import fixed
 from tally.functions import text, values
 from tally.operators import audit, rows, sentinels
 from tally.operators.audit import Rule
+from tally.plans import cleaning
 
 SEGMENTS = {
     "AUTOMOBILE": ("AUTOMOBILE", "AUTO"),
@@ -323,6 +324,40 @@ def summary_lines(customers, orders):
     return audit.summary_lines(both_reports(customers, orders))
 
 
+# --- the load plan, on the schools feed ---------------------------------------------
+
+SCHOOLS_SQL = rf"""WITH junk AS (SELECT *, translate(school_name, '{fixed.JUNK}', '') AS n1 FROM D_schools_feed),
+tidy AS (SELECT *, array_to_string(list_transform(regexp_extract_all(trim(n1), '(\p{{L}}+|\P{{L}}+)', 1), lambda r: concat(upper(r[1:1]), lower(r[2:]))), '') AS n2,
+  CASE WHEN lower(trim(sector_code)) IN ({PLACEHOLDER_SQL}) THEN NULL ELSE sector_code END AS s1,
+  CASE WHEN length(postcode) < 4 THEN lpad(postcode, 4, '0') ELSE postcode END AS p1 FROM junk),
+one AS (SELECT DISTINCT acara_id AS school_id, n2 AS school_name, s1 AS sector, p1 AS postcode FROM tidy),
+listed(id) AS (VALUES {", ".join(f"('{i}')" for i in fixed.NON_SCHOOL_IDS)})"""
+
+
+@query(
+    "load_schools",
+    "D_schools_feed",
+    sql=f"{SCHOOLS_SQL} SELECT * FROM one WHERE school_id NOT IN (SELECT id FROM listed)",
+)
+def load_schools(feed):
+    return cleaning.clean_schools(feed).table
+
+
+@query(
+    "load_schools_report",
+    "D_schools_feed",
+    sql=f"""{SCHOOLS_SQL}
+SELECT 'strip_junk_characters' AS rule, 'school_name' AS "column", count(*) FILTER (WHERE n1 IS DISTINCT FROM school_name) AS changed, '' AS detail FROM tidy
+UNION ALL SELECT 'normalise_whitespace_case', 'school_name', count(*) FILTER (WHERE n2 IS DISTINCT FROM n1), 'title' FROM tidy
+UNION ALL SELECT 'blank_placeholders', 'sector_code', count(*) FILTER (WHERE s1 IS DISTINCT FROM sector_code), '' FROM tidy
+UNION ALL SELECT 'pad_postcode', 'postcode', count(*) FILTER (WHERE p1 IS DISTINCT FROM postcode), '' FROM tidy
+UNION ALL SELECT 'drop_exact_duplicates', 'schools', (SELECT count(*) FROM tidy) - (SELECT count(*) FROM one), ''
+UNION ALL SELECT 'drop_non_schools', 'school_id', count(*) FILTER (WHERE school_id IN (SELECT id FROM listed)), 'pseudo/home' FROM one""",
+)
+def load_schools_report(feed):
+    return cleaning.clean_schools(feed).report
+
+
 @query(
     "orphans",
     "D_results",

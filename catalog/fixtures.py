@@ -33,6 +33,15 @@ SELECT c_custkey,
 FROM {customer}
 """
 
+# The schools feed as a delivery has it: dirty names, placeholder sectors, short codes, pseudo schools, some rows twice.
+SQL["D_schools_feed"] = """
+SELECT CASE WHEN c_custkey % 23 = 0 THEN '99999' ELSE CAST(c_custkey AS VARCHAR(20)) END AS acara_id,
+  concat(segment_raw, ' ', name_raw) AS school_name, name_raw AS sector_code, code_raw AS postcode FROM {D_customer}
+UNION ALL
+SELECT CASE WHEN c_custkey % 23 = 0 THEN '99999' ELSE CAST(c_custkey AS VARCHAR(20)) END,
+  concat(segment_raw, ' ', name_raw), name_raw, code_raw FROM {D_customer} WHERE c_custkey % 3 = 0
+"""
+
 _DAY = "lpad(CAST(day(o_orderdate) AS VARCHAR(2)), 2, '0')"
 _MONTH = "lpad(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0')"
 _YEAR = "CAST(year(o_orderdate) AS VARCHAR(4))"
