@@ -192,9 +192,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(v, root)`` for all nodes of ``links`` (``a, b``): large-star and small-star until nothing changes."""
-    edges = stage(links.where("a <> b").distinct(), "edges")
-    before = None
+    """``(v, root)`` for all nodes of ``links`` (``a, b``): large-star and small-star until all edges are stars."""
+    edges = links.where("a <> b").distinct()
     while True:
         # Large star: what lies above u hangs below the least neighbour of u.
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -207,12 +206,13 @@ def components(links: DataFrame) -> DataFrame:
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = stage(small, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if state == before:
-            roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "v")
-            tops = edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()
-            return roots.union(tops.join(roots, "v", "left_anti"))
-        before = state
+        # Edges point from the greater end to the less. All is done when none starts where another ends, or twice.
+        twice = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        inner = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+        if twice.union(inner).isEmpty():
+            return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).union(
+                edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()
+            )
 
 
 def _star(rows: DataFrame, turn: int) -> DataFrame:
@@ -276,8 +276,9 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             sets = more if sets is None else sets.union(more)
         if sets is not None:
             found = stage(verified(near, sets), "links")
-            links = found if links is None else links.union(found)
-            comps = stage(components(links), "components")
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                comps = stage(components(links), "components")
         near = near.select("a", "b")
         tried = near if tried is None else tried.union(near)
     if comps is None:
