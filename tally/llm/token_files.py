@@ -14,12 +14,14 @@ table gives files without rows. Other columns are not read, so their names may c
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ SCHEMA = "part int, doc_id long, start long, n_tokens long, ids array<int>"
 # White space ends a piece of text for the tokenizer, which drops it and never looks across it; these four
 # are that for it and for us.
 _BREAKS = (32, 9, 10, 13)
+# Fixed value: how the public word tokenizer cuts a text. It never puts a letter or digit and a mark in one piece.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class ChunkIds:
@@ -53,8 +57,17 @@ class ChunkIds:
         # A special token that is cut out of a text as it stands, to set pieces apart in one call.
         self.mark = next(((i, t.content) for i, t in marks if not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
         self.special = [t.content for _, t in marks]
+        layout = json.loads(self.tokenizer.to_str())
+        # Where the tokenizer is known to do so itself, capitals and last full stops make no new pieces.
+        self.folds = "Lowercase" in json.dumps(layout["normalizer"])
+        self.stops = json.dumps(_WORD_PATTERN) in json.dumps(layout["pre_tokenizer"])
         self.clear()
 
+    def pieces(self, column: pa.Array) -> WordArrays:
+        """The pieces of each text that are encoded on their own."""
+        fold = self.folds and not (pa.compute.any(pa.compute.match_substring(column, "<|")).as_py() or False)
+        return word_arrays(column, lower=fold, spaces=_BREAKS, stops=self.stops)
+
     def _encoded(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of each piece: many in one call with a mark between, those that hold a special token on their own."""
         encode = self.tokenizer.encode_batch_fast
@@ -108,7 +121,7 @@ def _encoder(tokenizer_path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, part, start = _chunk_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in small_batches(batches):
-            words = word_arrays(batch.column("text"), lower=False, spaces=_BREAKS)
+            words = chunks.pieces(batch.column("text"))
             ids, size = chunks.of(words)
             counts = np.bincount(words.row, weights=size, minlength=batch.num_rows).astype(np.int64) + 1
             ends = np.cumsum(counts)

@@ -21,6 +21,8 @@ _RANDOM = np.random.default_rng(20240501)
 _VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_PLAIN = np.zeros(256, bool)
+_PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = True
 # Space and the control characters 9 to 13 separate words; all are single bytes of UTF-8.
 SPACES = (32, 9, 10, 11, 12, 13)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -83,8 +85,11 @@ def sequence_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, tabl
     return mixed(out + (end - start).astype(np.uint64) * _MUL)
 
 
-def word_arrays(column: pa.Array, lower: bool = True, spaces: tuple[int, ...] = SPACES) -> WordArrays:
-    """The words of every row; bytes A-Z count as a-z for the hashes on request."""
+def word_arrays(column: pa.Array, lower: bool = True, spaces: tuple[int, ...] = SPACES, stops: bool = False) -> WordArrays:
+    """The words of every row; bytes A-Z count as a-z for the hashes on request.
+
+    With ``stops``, a last full stop or comma after an ASCII letter or digit is a word of its own.
+    """
     data, at = text_bytes(column)
     separates = np.zeros(256, bool)
     separates[list(spaces)] = True
@@ -101,6 +106,11 @@ def word_arrays(column: pa.Array, lower: bool = True, spaces: tuple[int, ...] =
     before_gap[inner - 1] = True
     start = np.flatnonzero(opens & after_gap)
     end = np.flatnonzero(closes & before_gap) + 1
+    if stops:
+        last = end - 1
+        cut = (end - start > 1) & np.isin(data[last], (44, 46)) & _PLAIN[data[np.maximum(last - 1, 0)]]
+        place = np.flatnonzero(cut) + 1
+        start, end = np.insert(start, place, last[cut]), np.insert(np.where(cut, last, end), place, end[cut])
     first = np.searchsorted(start, at)
     row = np.repeat(np.arange(len(column)), np.diff(first))
     hashes = sequence_hashes(_LOWER[data] if lower else data, start, end)

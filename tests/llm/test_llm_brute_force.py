@@ -99,6 +99,7 @@ def test_tokens_round_trip(spark):
 
     tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
     texts = texts_of(SF) | {10_000: None, 10_001: "<|endoftext|> It's ö 'S\x0b\x1f\n\n12,3", 10_002: "ẞÅngström"}
+    texts |= {10_003: "A.B. c. É. 9. x., it's. IT'S, ... a.. ,. ", 10_004: "<|ENDOFTEXT|> <|startoftext|>. Á. İ. ẞ,"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     path = scratch_path(spark, "tokens")
     token_files.write_token_files(df, path, token_files.default_tokenizer())
