@@ -7,7 +7,7 @@ share a shingle; lengths, positions in the order and a 64-way partition of the s
 overlap of such a pair from above, and what passes is verified on the whole sets.
 
 Links are wanted for their components, so pairs inside one component need no look: in each group of
-sets that share a prefix shingle, all are first paired with one of them, a few times over, and only
+sets that share a prefix shingle, all are first paired with a few of them, round by round, and only
 pairs that still lie in different components are formed at last. Groups of copies thus cost rows in
 proportion to their members, and no link between components is lost.
 
@@ -37,7 +37,8 @@ WIDTH = 5
 PERCENT = 75
 RARITY_BITS = 22
 SLICE = 1 << 16
-STAR_ROUNDS = 2
+# How many sets of a group all others are paired with, round by round, before what is left is joined pair by pair.
+HUBS = (1, 3, 3)
 # Bits of the bitmaps of shingles that may be shared and of texts whose sets are wanted; false positives cost time only.
 SHARED_BITS = 26
 TEXT_BITS = 22
@@ -216,17 +217,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _star(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each set with one set of those that share its shingle and are about as long, if in another component."""
+    """Pairs of each set with a few of those that share its shingle and are about as long, where components meet."""
     key = ["h", "about"]
     rows = rows.select("h", F.floor(F.log("n") / np.log(100 / PERCENT)).cast("int").alias("about"), "f", "comp")
-    # Fingerprints are random, and so is their order under a mask; each turn has another.
-    mask = F.lit((0x9E3779B97F4A7C15 * turn) % (1 << 63))
-    hub = rows.groupBy(*key).agg(
-        F.min(F.col("f").bitwiseXOR(mask)).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    # Fingerprints are random, and so is their order under a mask; each turn and each choice has another.
+    masks = [F.lit((0x9E3779B97F4A7C15 * (8 * turn + k)) % (1 << 63)) for k in range(HUBS[turn])]
+    hubs = rows.groupBy(*key).agg(
+        *[F.min(F.col("f").bitwiseXOR(m)).alias(f"hub{k}") for k, m in enumerate(masks)],
+        F.min("comp").alias("low"), F.max("comp").alias("high"),
     )
-    hub = hub.where("low < high").select(*key, F.col("hub").bitwiseXOR(mask).alias("hub"))
-    paired = rows.join(hub, key).where("f <> hub").select(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b"))
-    return paired.distinct()
+    chosen = F.array_distinct(F.array(*[F.col(f"hub{k}").bitwiseXOR(m) for k, m in enumerate(masks)]))
+    hubs = hubs.where("low < high").select(*key, chosen.alias("hubs"))
+    paired = rows.join(hubs, key).select("f", F.explode("hubs").alias("hub")).where("f <> hub")
+    return paired.select(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b")).distinct()
 
 
 def _rest(rows: DataFrame) -> DataFrame:
@@ -255,13 +258,13 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stage(docs.select("text").mapInArrow(_prefixes(rarity, often), schema).distinct(), "shared")
     del keys, rarity, often
     links = tried = comps = sets = None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(len(HUBS) + 1):
         if comps is None:
             placed = shared.withColumn("comp", F.col("f"))
         else:
             placed = shared.join(comps.withColumnRenamed("v", "f"), "f", "left")
             placed = placed.withColumn("comp", F.coalesce("root", "f")).drop("root")
-        pairs = _rest(placed) if turn == STAR_ROUNDS else _star(placed, turn)
+        pairs = _rest(placed) if turn == len(HUBS) else _star(placed, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         near = stage(suffix_filtered(pairs, classes), "near")
