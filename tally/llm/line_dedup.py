@@ -1,10 +1,9 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by a dense join of line windows.
 
-Blank lines aside, every window of ``LINES`` lines has a fingerprint, its least line hash. Occurrences
-of a fingerprint are joined on it and on the window around it, which keeps very common lines from
-pairing everything: each occurrence meets only the first of its kind. Windows that meet the same
-earlier text at the same distance are one run, extended both ways as far as it goes, and the lines of
-all runs but the first are deleted. A run of ``LINES`` lines or more that repeats is always found.
+Blank lines aside, every window of ``LINES`` lines is joined with the first of its kind on the hash of its lines
+(and its least line hash, which that implies); no windows are selected, so this is not winnowing. Windows that meet
+the same earlier text at the same distance are one run, and the lines of all runs but the first are deleted. A run
+of ``LINES`` lines or more that repeats is always found; a shorter one in a longer text is not, as in the SQL twin.
 
 Texts are ordered by id (null first), then text hash; a run is later if it begins further on in that
 order. Defined results: null and empty texts have no lines and stay as they are (a null as an empty
