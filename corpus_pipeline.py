@@ -39,8 +39,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights: a row for each time that a text is taken, cut where its source's quota ends."""
-    return mixed_documents(docs)
+    """The mix to target weights: a row for each time that a text is taken, always whole."""
+    return mixed_documents(docs, whole=True)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

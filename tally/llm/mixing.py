@@ -1,8 +1,8 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Each source is a stream of words: its documents in the order of a seeded hash, cut into blocks of
-equal words. A source's target is a quota of blocks, the last one cut to the word; beyond its size
-the stream is begun again. The vector of quotas is split down a binary tree of output shards: at
+equal words. A source's target is a quota of blocks, the last one cut to the word, or with ``whole`` to
+the nearer end of the text there, so that no text is cut; beyond its size the stream is begun again. The vector of quotas is split down a binary tree of output shards: at
 each node the left half's share of every source is drawn from the multivariate hypergeometric
 distribution, so quotas stay exact and each shard looks like a random draw without replacement. A
 shard takes the next of its sources' permuted blocks, and ``order_key`` shuffles its pieces locally.
@@ -70,10 +70,13 @@ def _draws(sources: DataFrame) -> DataFrame:
         "block", F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(n / BLOCKS_PER_SOURCE)))
     )
     sources = sources.withColumn("words0", F.least(n, words)).withColumn("words1", words - F.least(n, words))
+    return _blocks(sources).withColumn("buckets", F.ceil(F.col("rows") / ROWS_PER_BUCKET))
+
+
+def _blocks(sources: DataFrame) -> DataFrame:
     return (
         sources.withColumn("draws0", F.ceil(F.col("words0") / F.col("block")))
         .withColumn("draws1", F.ceil(F.col("words1") / F.col("block")))
-        .withColumn("buckets", F.ceil(F.col("rows") / ROWS_PER_BUCKET))
     )
 
 
@@ -209,6 +212,20 @@ def _placed(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("begin", F.col("before") + F.col("within"))
 
 
+def _to_whole_texts(placed: DataFrame, sources: DataFrame) -> DataFrame:
+    """``sources`` with quotas that end where a text does: with the one at the border if that is nearer, else before it."""
+    quota = F.when(F.col("words1") > 0, F.col("words1")).otherwise(F.col("words0"))
+    end = F.col("begin") + F.col("size")
+    border = placed.where((F.col("begin") < quota) & (quota < end))
+    border = border.select("sid", F.when(quota - F.col("begin") >= end - quota, end).otherwise(F.col("begin")).alias("ends"))
+    second = F.col("words1") > 0
+    sources = sources.join(border, "sid", "left").withColumns({
+        "words0": F.when(second, F.col("words0")).otherwise(F.coalesce("ends", "words0")),
+        "words1": F.when(second, F.coalesce("ends", "words1")).otherwise(F.col("words1")),
+    })
+    return _blocks(sources.drop("ends", "draws0", "draws1"))
+
+
 def _pieces(placed: DataFrame) -> DataFrame:
     """A row for each block that a document reaches into in either epoch, and at least one for each document."""
 
@@ -237,11 +254,12 @@ def _pieces(placed: DataFrame) -> DataFrame:
 
 def mix(
     documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, seed: int = SEED,
-    shard_words: int = SHARD_WORDS,
+    shard_words: int = SHARD_WORDS, whole: bool = False,
 ) -> DataFrame:
     """The pieces of the mix: document, source, target, shard, draw, words from where and how many, local order.
 
-    A document that is not taken has one row without a shard and with 0 words.
+    A document that is not taken has one row without a shard and with 0 words. With ``whole``, a source's
+    quota ends with a text.
     """
     sized = stage(
         documents.select(
@@ -251,13 +269,19 @@ def mix(
         "sized",
     )
     sources = stage(_draws(source_targets(sized, weights, share)), "sources")
+    placed = _placed(sized, sources, seed)
+    if whole:
+        placed = stage(placed, "placed")
+        sources = stage(_to_whole_texts(placed, sources), "whole")
+        quota = ["words0", "words1", "draws0", "draws1"]
+        placed = placed.drop(*quota).join(sources.select("sid", *quota), "sid")
     words = sources.agg(F.sum("target")).first()[0] or 0.0
     shards = max(1, math.ceil(words / shard_words))
     quotas = split_quotas(sources, shards, seed)
     drawn = quotas.where("draws > 0").select(
         "shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)).alias("draw")
     )
-    pieces = _pieces(_placed(sized, sources, seed)).join(drawn, ["sid", "draw"], "left")
+    pieces = _pieces(placed).join(drawn, ["sid", "draw"], "left")
     return pieces.select(
         "doc_id", "source", "size", "text_hash", "source_size", "target", "sid", "bucket", "row", "shard", "epoch", "draw",
         "word_from", F.when(F.col("shard").isNotNull(), F.col("words")).otherwise(0).alias("words"),
@@ -272,10 +296,10 @@ def taken_words(documents: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each epoch in which a text is taken, cut where its source's quota ends.
+    """The mix as documents: a row for each epoch in which a text is taken.
 
-    A document taken twice has two rows. The last text of a source may be cut after some of its words;
-    ``n_chars`` is its length then. Columns and their order are those of ``documents``.
+    A document taken twice has two rows. Without ``whole`` the last text of a source may be cut after some of
+    its words; ``n_chars`` is its length then. Columns and their order are those of ``documents``.
     """
     pieces = mix(documents, **options).where("words > 0").withColumn("__row", F.xxhash64("doc_id", "text_hash"))
     epochs = pieces.groupBy("sid", "bucket", "row", "__row", "size", "epoch").agg(F.sum("words").alias("k"))
@@ -296,5 +320,5 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
 
 @query("op6_mixing")
 def op6_mixing(spark, sf_dir):
-    taken = taken_words(table(spark, sf_dir, "documents"))
+    taken = taken_words(table(spark, sf_dir, "documents"), whole=True)
     return taken.select("doc_id", "size", "source_size", "target", "taken")
