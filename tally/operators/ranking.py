@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tally.session import stage
 
 # The median is looked for between two percentiles this far to either side of it. Their
-# rank error is a tenth of that, so the middle is always inside.
+# rank error is a tenth of that; should the counts show the middle outside, the bracket is widened.
 BRACKET = 1e-5
 ACCURACY = 1_000_000
 
@@ -66,11 +66,20 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
     counted, what lies between collapses to counts, and only that is put in order.
     """
     values = df.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
-    ends = F.percentile_approx("value", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY)
-    bracket = stage(values.agg(ends.alias("ends"), F.count("*").alias("n")), "bracket")
-    low, high = (bracket.select(F.col("ends")[i]).scalar() for i in (0, 1))
-    inside = F.when(F.col("value") >= low, F.col("value"))
-    counts = stage(values.filter(F.col("value") <= high).groupBy(inside.alias("value")).agg(F.count("*").alias("n")), "near")
+    width = BRACKET
+    while True:
+        near = F.percentile_approx("value", [0.5 - width, 0.5 + width], ACCURACY)
+        ends = near if width < 0.5 else F.array(F.min("value"), F.max("value"))
+        bracket = stage(values.agg(ends.alias("ends"), F.count("*").alias("n")), "bracket")
+        low, high = (bracket.select(F.col("ends")[i]).scalar() for i in (0, 1))
+        inside = F.when(F.col("value") >= low, F.col("value"))
+        counts = stage(values.filter(F.col("value") <= high).groupBy(inside.alias("value")).agg(F.count("*").alias("n")), "near")
+        # Three numbers tell whether the middle is inside; all values always hold it.
+        under, upto = counts.agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        n = bracket.first()["n"]
+        if width >= 0.5 or (under < (n + 1) // 2 and upto >= (n + 2) // 2) or not n:
+            break
+        width *= 100
     below = F.coalesce(counts.filter("value IS NULL").select(F.sum("n")).scalar(), F.lit(0))
     ranged = _ranged(counts.filter("value IS NOT NULL"), [F.col("value")])
     running = Window.partitionBy("__part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
