@@ -314,7 +314,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     some = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     # One key for the join and for repeated rows: texts are shuffled once.
     stay = hashed.where(some).join(kept, "__row", "left_semi").dropDuplicates(["__row"])
-    return stay.union(hashed.where(~some)).select(*documents.columns)
+    return stay.unionByName(hashed.where(~some)).select(*documents.columns)
 
 
 @query("op5_jaccard_join")
