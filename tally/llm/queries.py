@@ -3,11 +3,13 @@
 import corpus_pipeline  # noqa: F401
 from tally.llm import (  # noqa: F401
     decontaminate,
+    hard_negatives,
     jaccard_join,
     line_dedup,
     mixing,
     quality_classifier,
     quality_rules,
+    source_divergence,
     substring_dedup,
     suffix_tree_lm,
     token_files,
