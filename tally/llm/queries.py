@@ -7,6 +7,7 @@ from tally.llm import (  # noqa: F401
     jaccard_join,
     line_dedup,
     mixing,
+    personal_data,
     quality_classifier,
     quality_rules,
     source_divergence,
