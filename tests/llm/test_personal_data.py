@@ -49,7 +49,7 @@ ODD = [
     "4111 1111 1111 1111 4111111111111112 4111-1111-1111-1111-9 4111  1111 5500005555555559x 0 00",
     "+1 (743) 555-3824 +12 +123456789 ++49 30 1234567890123456 +49 (0)30.123-45 67 ) + 1 222 333 4444",
     "é😀a@b.de ü 10.0.0.1 中 +44 20 7946 0958 文",
-    "1" * 30_000 + "." + "x" * 30_000 + "@" + "a." * 10_000 + "b",
+    "1" * 3_000 + "." + "x" * 3_000 + "@" + "a." * 10_000 + "b",
     "a@b.cd " * 3_000,
 ]
 
