@@ -117,9 +117,9 @@ def kept_terms(counts: DataFrame, least: int) -> DataFrame:
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """``1 + floor(UNIT * (count + 1) / (total + terms))``, exact at any count."""
+    """``1 + floor(UNIT * (count + 1) / (total + terms))``, exact at any count; of no use where nothing is kept."""
     wide = (count + 1).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return F.call_function("div", wide, (total + terms).cast("decimal(20,0)")) + 1
+    return F.call_function("div", wide, F.greatest(total + terms, F.lit(1)).cast("decimal(20,0)")) + 1
 
 
 def distance(p: Column, q: Column) -> Column:

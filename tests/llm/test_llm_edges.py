@@ -9,6 +9,7 @@ from tally.llm import (
     jaccard_join,
     line_dedup,
     mixing,
+    personal_data,
     quality_classifier,
     quality_rules,
     substring_dedup,
@@ -70,6 +71,7 @@ PER_ROW = {
     "mix": lambda d, la, b: mixing.taken_words(d),
     "quality": lambda d, la, b: quality_classifier.classify(d, la)[0],
     "rules": lambda d, la, b: quality_rules.judge_documents(d),
+    "personal data": lambda d, la, b: personal_data.personal_spans(d),
     "suffix tree": lambda d, la, b: suffix_tree_lm.scored(d),
 }
 
