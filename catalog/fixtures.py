@@ -230,4 +230,7 @@ def with_inputs(body: str, *names: str) -> str:
     joiner = ", " if body.lstrip().upper().startswith("WITH ") else "\n"
     if joiner == ", ":
         body = body.lstrip()[5:]
-    return f"WITH {ctes}{joiner}{body}"
+    word = "WITH"
+    if body.lstrip().upper().startswith("RECURSIVE "):
+        word, body = "WITH RECURSIVE", body.lstrip()[10:]
+    return f"{word} {ctes}{joiner}{body}"

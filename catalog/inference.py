@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import fits
 from catalog.registry import query
 from tally.functions.inference import t_terms
 from tally.operators import groups, irt, markers, ranking
-from tally.plans import questions
+from tally.plans import questions, vendor
 from tally.session import stage
 
 ANSWER_ITEMS = [f"N3Q0{i}" for i in range(1, 8)]
@@ -223,27 +224,97 @@ def response_patterns(frame):
     return irt.response_patterns(answers_of(frame), ["segment"])
 
 
-def fitted(frame):
+ANSWER_PATTERNS = "SELECT segment AS key, concat(" + ", ".join(ANSWER_ITEMS) + ") AS pattern, count(*) AS n FROM D_answers GROUP BY ALL"
+ITEMS_SQL = fits.fit_sql(
+    ANSWER_PATTERNS, "SELECT key AS segment, concat('N3Q0', item) AS item, round(b, 3) AS difficulty, round(a, 3) AS discrimination FROM fits"
+)
+
+
+def fitted(frame, form="grouped"):
     answers = stage(answers_of(frame), "answers")
     patterns = stage(irt.response_patterns(answers, ["segment"]), "patterns")
-    return answers, patterns, irt.fit_groups(patterns, ["segment"])
+    return answers, patterns, irt.fit_groups(patterns, ["segment"], form)
 
 
-@query("irt_items", "D_answers")
+@query("irt_items", "D_answers", sql=ITEMS_SQL)
 def irt_items(frame):
     return irt.item_parameters(fitted(frame)[2], ANSWER_ITEMS, ["segment"])
 
 
-@query("irt_statistics", "D_answers")
+@query("irt_items_summed", "D_answers", sql=ITEMS_SQL)
+def irt_items_summed(frame):
+    """The same fit from counts that Spark sums each round, its state in a table."""
+    return irt.item_parameters(fitted(frame, "summed")[2], ANSWER_ITEMS, ["segment"])
+
+
+@query(
+    "irt_expectation",
+    "D_answers",
+    sql=fits.fit_sql(
+        ANSWER_PATTERNS,
+        f"""SELECT w.key AS segment, w.j AS node, marks.item - 1 AS item, round(sum(w.n * w), 6) AS persons, round(sum(w.n * w * mark), 6) AS "right"
+FROM {fits.START_WEIGHTS} AS w JOIN marks ON w.key = marks.key AND w.pid = marks.pid GROUP BY ALL""",
+    ),
+)
+def irt_expectation(frame):
+    """Expected persons and right answers at each node, one step from the starting values."""
+    step = irt.expectation_step(irt.response_patterns(answers_of(frame), ["segment"]), ["segment"])
+    return step.withColumns({c: F.col(c).cast("bigint") for c in ("node", "item")})
+
+
+@query(
+    "irt_statistics",
+    "D_answers",
+    sql=fits.fit_sql(
+        ANSWER_PATTERNS,
+        f"""SELECT key AS segment, CAST(sum(n) AS BIGINT) AS n_persons, round(28 - 2 * sum(n * ll), 1) AS aic, round(14 * ln(sum(n)) - 2 * sum(n * ll), 1) AS bic
+FROM (SELECT DISTINCT key, pid, n, ll FROM {fits.WEIGHTS} WHERE j = 0) GROUP BY key""",
+    ),
+)
 def irt_statistics(frame):
     return irt.fit_statistics(fitted(frame)[2], ["segment"])
 
 
-@query("irt_ability", "D_answers")
+@query(
+    "irt_ability",
+    "D_answers",
+    sql=fits.fit_sql(
+        ANSWER_PATTERNS,
+        f"""SELECT platform_id, segment, ability
+FROM (SELECT platform_id, segment, concat({", ".join(ANSWER_ITEMS)}) AS pid FROM D_answers) AS a
+JOIN (SELECT key, pid, round(sum(w * x), 4) AS ability FROM {fits.WEIGHTS} JOIN nodes USING (j) GROUP BY key, pid) AS k
+  ON a.segment = k.key AND a.pid = k.pid""",
+    ),
+)
 def irt_ability(frame):
-    answers, patterns, fits = fitted(frame)
-    known = irt.pattern_abilities(patterns, fits, ["segment"])
-    return irt.person_abilities(answers, known, "platform_id", ["segment"])
+    answers, patterns, fitted_groups = fitted(frame)
+    known = irt.pattern_abilities(patterns, fitted_groups, ["segment"])
+    return irt.person_abilities(answers, known.withColumn("ability", F.round("ability", 4)), "platform_id", ["segment"])
+
+
+# Three levels with two domains each: the first four items as numeracy, the last four as reading.
+GRID_LEVELS = {3: "F", 5: "O", 7: "P"}
+GRID_PATTERNS = " UNION ALL ".join(
+    f"SELECT concat('{level} ', '{domain}') AS key, concat({', '.join(columns)}) AS pattern, count(*) AS n FROM D_answers WHERE segment = '{segment}' GROUP BY ALL"
+    for level, segment in GRID_LEVELS.items()
+    for domain, columns in (("Numeracy", ANSWER_ITEMS[:4]), ("Reading", ANSWER_ITEMS[3:]))
+)
+
+
+@query(
+    "irt_grid",
+    "D_answers",
+    sql=fits.fit_sql(
+        GRID_PATTERNS,
+        """SELECT CAST(split_part(key, ' ', 1) AS BIGINT) AS year_level, split_part(key, ' ', 2) AS domain,
+  concat(left(split_part(key, ' ', 2), 1), '3Q0', item) AS item, round(b, 3) AS difficulty, round(a, 3) AS discrimination FROM fits""",
+    ),
+)
+def irt_grid(frame):
+    """Every level by domain of a feed, fitted side by side."""
+    feed = frame.select("platform_id", "segment", *ANSWER_ITEMS[:4], *[F.col(c).alias(f"R3Q0{i}") for i, c in enumerate(ANSWER_ITEMS[3:], 1)])
+    levels = {level: feed.filter(F.col("segment") == s).drop("segment") for level, s in GRID_LEVELS.items()}
+    return vendor.fit_paper(levels, "platform_id")["items"]
 
 
 @query(

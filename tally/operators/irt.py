@@ -3,14 +3,15 @@
 Persons collapse to answer patterns and their counts in one aggregation, so a
 fit never sees persons. The caller picks the form: ``grouped`` fits each group in
 one task, all groups in parallel, which suits some dozen items (k items make at
-most ``2**k`` patterns a group); ``summed`` has Spark add up each round's expected
-counts over all patterns, and only items times nodes numbers per group reach the
-update step. Both give the same fit and say whether it settled, after how many rounds.
+most ``2**k`` patterns a group); ``summed`` keeps the parameters in a written table,
+joins them to the patterns each round, has Spark add up the expected counts of 41
+nodes, and updates each item from those; nothing passes through the driver but
+whether a group still moves. Both give the same fit, rounds and verdict.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -164,63 +165,193 @@ def fit_groups(patterns: DataFrame, segments: Sequence[str] = (), form: str = "g
     return stage(patterns.groupBy(*names).applyInPandas(fit, _fit_schema(patterns, names)), "fits")
 
 
-def _fit_wide(patterns: DataFrame, segments: Sequence[str]) -> DataFrame:
-    """The same fit when patterns are too many for one task."""
-    spark, names = patterns.sparkSession, list(segments)
-    key = F.to_json(F.struct(*names)) if names else F.lit("{}")
-    keyed = stage(patterns.select(*names, key.alias("__key"), "pattern", "n"), "keyed")
-    places = F.posexplode(F.split("pattern", "")).alias("item", "mark")
-    shares = (
-        keyed.select("__key", "n", places)
-        .filter("mark <> ''")
-        .groupBy("__key", "item")
-        .agg((F.sum(F.col("mark").cast("double") * F.col("n")) / F.sum("n")).alias("share"))
-        .orderBy("__key", "item")
-        .toPandas()
+# --- the summed form: state in a table, one plan a round -------------------------
+
+
+def _numbers(values: Iterable[float]) -> Column:
+    """Known numbers as one constant array; a text keeps the plan small where each would be an expression of its own."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def quadrature(slope: Column, difficulty: Column) -> tuple[Column, Column]:
+    """Per node: what each right answer adds to the log weight, and the log weight of no right answer.
+
+    ``slope`` and ``difficulty`` are arrays over the items of a group.
+    """
+    items = F.arrays_zip(slope.alias("a"), difficulty.alias("b"))
+
+    def chance(x: Column):
+        def of(i: Column) -> Column:
+            p = 1 / (1 + F.exp(-i["a"] * (x - i["b"])))
+            return F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+
+        return of
+
+    nodes = F.arrays_zip(_numbers(NODES).alias("x"), _numbers(np.log(PRIOR)).alias("w"))
+    added = F.transform(nodes, lambda v: F.transform(items, lambda i: F.log(chance(v["x"])(i)) - F.log(1 - chance(v["x"])(i))))
+    none = F.transform(nodes, lambda v: F.aggregate(items, v["w"], lambda t, i: t + F.log(1 - chance(v["x"])(i))))
+    return added, none
+
+
+def node_weights(marks: Column, added: Column, none: Column) -> Column:
+    """The log weight of every node for a pattern's marks."""
+    return F.zip_with(
+        added, none,
+        lambda row, base: base + F.aggregate(F.zip_with(row, marks, lambda d, m: d * m), F.lit(0.0), lambda t, x: t + x),
     )
-    params = {k: _start(g["share"].to_numpy()) for k, g in shares.groupby("__key")}
-    for rounds in range(1, MAX_ROUNDS + 1):  # noqa: B007
-        sums = _expected_counts(keyed, params)
-        new = {k: _update(right, persons, *params[k]) for k, (right, persons, _l) in sums.items()}
-        done = all(_settled(params[k], new[k]) for k in params)
-        params = new
-        if done:
+
+
+def log_sum(logs: Column) -> Column:
+    """Log of the sum of exponentials, taken from the greatest so that nothing runs over."""
+    top = F.array_max(logs)
+    return top + F.log(F.aggregate(F.transform(logs, lambda x: F.exp(x - top)), F.lit(0.0), lambda t, x: t + x))
+
+
+def _marked(patterns: DataFrame, segments: Sequence[str]) -> DataFrame:
+    """Patterns with their group under one key and their marks as numbers."""
+    key = F.to_json(F.struct(*segments)) if segments else F.lit("{}")
+    marks = F.transform(F.sequence(F.lit(1), F.length("pattern")), lambda i: F.substr("pattern", i, F.lit(1)).cast("double"))
+    return patterns.select(*segments, key.alias("__key"), "pattern", marks.alias("marks"), F.col("n").cast("double").alias("n"))
+
+
+def _width(marked: DataFrame) -> int:
+    """The most items a group has."""
+    return marked.select(F.max(F.size("marks"))).first()[0] or 0
+
+
+def start_values(marked: DataFrame) -> DataFrame:
+    """One row per group: slope 1 and the difficulty that the share of right answers suggests."""
+    shares = marked.select("__key", "n", F.posexplode("marks").alias("item", "mark")).groupBy("__key", "item").agg(
+        (F.sum(F.col("mark") * F.col("n")) / F.sum("n")).alias("share")
+    )
+    share = F.least(F.greatest(F.col("share"), F.lit(0.01)), F.lit(0.99))
+    per_item = F.array_sort(F.collect_list(F.struct("item", (-F.log(share / (1 - share))).alias("b"))))
+    starts = shares.groupBy("__key").agg(per_item.alias("items"))
+    return starts.select(
+        "__key", F.transform("items", lambda i: F.lit(1.0)).alias("slope"), F.transform("items", lambda i: i["b"]).alias("difficulty"),
+        F.lit(0).alias("rounds"), F.lit(False).alias("converged"),
+    )
+
+
+def expected_counts(width: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A function of marked patterns and a state: ``(__key, node, persons, right, loglik)``, at most 41 rows a group.
+
+    ``persons`` are expected at the node, ``right`` are their expected right answers to each of ``width``
+    items, and the log likelihood stands on node 0; Spark sums them over all patterns. The expressions are
+    put together once and serve every round.
+    """
+    added, none = quadrature(F.col("slope"), F.col("difficulty"))
+    known = ["__key", added.alias("added"), none.alias("none")]
+    logs = node_weights(F.col("marks"), F.col("added"), F.col("none")).alias("logs")
+    total = log_sum(F.col("logs"))
+    post = F.posexplode(F.transform("logs", lambda x: F.exp(x - F.col("total")))).alias("node", "weight")
+    weighted = F.col("weight") * F.col("n")
+    sums = [
+        F.sum(weighted).alias("persons"), F.array(*[F.sum(weighted * F.get("marks", F.lit(i))) for i in range(width)]).alias("right"),
+        F.sum(F.when(F.col("node") == 0, F.col("n") * F.col("total"))).alias("loglik"),
+    ]
+
+    def counted(marked: DataFrame, state: DataFrame) -> DataFrame:
+        rows = marked.join(state.select(*known), "__key").select("__key", "n", "marks", logs).withColumn("total", total)
+        return rows.select("__key", "n", "marks", "total", post).groupBy("__key", "node").agg(*sums)
+
+    return counted
+
+
+def _newton(persons: Column, right: Column, slope: Column, difficulty: Column) -> Column:
+    """Scoring steps for one item on its expected counts over the nodes; a struct of the new slope and intercept."""
+    table = F.arrays_zip(_numbers(NODES).alias("x"), persons.alias("n"), right.alias("r"))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("ga", "gd", "aa", "ad", "dd")])
+
+    def sums(s: Column) -> Column:
+        def add(t: Column, v: Column) -> Column:
+            p = 1 / (1 + F.exp(-(s["a"] * v["x"] + s["d"])))
+            p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+            gap, info = v["r"] - v["n"] * p, v["n"] * p * (1 - p)
+            return F.struct(
+                (t["ga"] + gap * v["x"]).alias("ga"), (t["gd"] + gap).alias("gd"), (t["aa"] + info * v["x"] * v["x"]).alias("aa"),
+                (t["ad"] + info * v["x"]).alias("ad"), (t["dd"] + info).alias("dd"),
+            )
+
+        return F.aggregate(table, zero, add)
+
+    def moved(s: Column, t: Column) -> Column:
+        aa, dd = t["aa"] + 1e-9, t["dd"] + 1e-9
+        det = aa * dd - t["ad"] * t["ad"]
+
+        def within(x: Column, low: float, high: float) -> Column:
+            return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+        a = s["a"] + within((dd * t["ga"] - t["ad"] * t["gd"]) / det, -0.5, 0.5)
+        return F.struct(
+            within(a, *SLOPE_BOUNDS).alias("a"), (s["d"] + within((aa * t["gd"] - t["ad"] * t["ga"]) / det, -0.5, 0.5)).alias("d")
+        )
+
+    def step(s: Column, _: Column) -> Column:
+        # A one-element array binds the sums, so that they are worked out once a step.
+        return F.element_at(F.transform(F.array(sums(s)), lambda t: moved(s, t)), 1)
+
+    start = F.struct(slope.alias("a"), (-slope * difficulty).alias("d"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)
+
+
+def one_round(width: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A function of marked patterns and a state: the state after expected counts and a Newton update for each (group, item)."""
+    counted = expected_counts(width)
+    tables = F.array_sort(F.collect_list(F.struct("node", "persons", "right"))).alias("t")
+    items = F.posexplode(F.arrays_zip(F.col("slope").alias("a"), F.col("difficulty").alias("b"))).alias("item", "old")
+    persons = F.transform("t", lambda v: v["persons"])
+    right = F.transform("t", lambda v: F.get(v["right"], F.col("item")))
+    new = _newton(persons, right, F.col("old.a"), F.col("old.b"))
+    low, high = DIFFICULTY_BOUNDS
+    b = F.least(F.greatest(-F.col("new.d") / F.col("new.a"), F.lit(low)), F.lit(high))
+    updated = ["__key", "item", "old", F.col("new.a").alias("a"), b.alias("b"), "rounds", "converged"]
+    gap = F.greatest(F.abs(F.col("a") - F.col("old.a")), F.abs(F.col("b") - F.col("old.b")))
+    # A group that has settled keeps its values while others go on.
+    kept = [F.when(F.col("converged"), F.col(f"old.{c}")).otherwise(F.col(c)).alias(c) for c in ("a", "b")]
+    together = [F.array_sort(F.collect_list(F.struct("item", *kept))).alias("items"), (F.max(gap) < TOLERANCE).alias("settled")]
+    state_columns = [
+        "__key", F.transform("items", lambda i: i["a"]).alias("slope"), F.transform("items", lambda i: i["b"]).alias("difficulty"),
+        (F.col("rounds") + (~F.col("converged")).cast("int")).alias("rounds"), (F.col("converged") | F.col("settled")).alias("converged"),
+    ]
+
+    def next_state(marked: DataFrame, state: DataFrame) -> DataFrame:
+        nodes = counted(marked, state).groupBy("__key").agg(tables)
+        each = state.join(nodes, "__key").select("*", items).withColumn("new", new).select(*updated)
+        return each.groupBy("__key", "rounds", "converged").agg(*together).select(*state_columns)
+
+    return next_state
+
+
+def _fit_wide(patterns: DataFrame, segments: Sequence[str]) -> DataFrame:
+    """The same fit when patterns are too many for one task.
+
+    The state is one row per group in a written table that meets the patterns each round; the driver
+    learns one row a round, whether any group still moves.
+    """
+    names = list(segments)
+    marked = stage(_marked(patterns, names), "marked")
+    width = _width(marked)
+    state = stage(start_values(marked), "state")
+    next_state = one_round(width)
+    for _ in range(MAX_ROUNDS):
+        state = stage(next_state(marked, state), "state")
+        if state.select(F.every("converged")).first()[0] is not False:
             break
-    final = _expected_counts(keyed, params)
-    rows = [(k, *[x.tolist() for x in params[k]], final[k][2]) for k in params]
-    fitted = spark.createDataFrame(rows, "__key string, slope array<double>, difficulty array<double>, loglik double")
-    groups = keyed.groupBy(*names, "__key").agg(F.sum("n").alias("n_persons"))
-    told = {"rounds": F.lit(rounds), "converged": F.lit(bool(done))}
+    loglik = expected_counts(width)(marked, state).groupBy("__key").agg(F.sum("loglik").alias("loglik"))
+    groups = marked.groupBy(*names, "__key").agg(F.sum("n").cast("long").alias("n_persons"))
     columns = [*names, "slope", "difficulty", "loglik", "n_persons", "rounds", "converged"]
-    return groups.join(fitted, "__key").withColumns(told).select(*columns)
-
-
-def _expected_counts(keyed: DataFrame, params: dict) -> dict:
-    """One pass over all patterns; items x nodes sums per group come back."""
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, group in batch.groupby("__key"):
-                counts = group["n"].to_numpy(dtype=float)
-                right, persons, loglik = _expected(_as_marks(group["pattern"]), counts, *params[k])
-                for item, row in enumerate([*right, persons]):
-                    yield pd.DataFrame(
-                        {"__key": k, "item": item, "node": np.arange(len(NODES)), "total": row}
-                    )
-                yield pd.DataFrame({"__key": [k], "item": [-1], "node": [0], "total": [loglik]})
-
-    sums = (
-        keyed.select("__key", "pattern", "n")
-        .mapInPandas(partial, "__key string, item int, node int, total double")
-        .groupBy("__key", "item", "node")
-        .agg(F.sum("total").alias("total"))
-        .toPandas()
-    )
-    out = {}
-    for k, group in sums.groupby("__key"):
-        table = group[group["item"] >= 0].pivot(index="item", columns="node", values="total").to_numpy()
-        out[k] = (table[:-1], table[-1], float(group.loc[group["item"] == -1, "total"].iloc[0]))
-    return out
+    return groups.join(state, "__key").join(loglik, "__key").select(*columns)
+
+
+def expectation_step(patterns: DataFrame, segments: Sequence[str] = ()) -> DataFrame:
+    """One expectation step at the starting values: per group, item and node expected persons and right answers."""
+    marked = stage(_marked(patterns, list(segments)), "marked")
+    sums = expected_counts(_width(marked))(marked, start_values(marked))
+    keys = marked.select(*segments, "__key").distinct()
+    return keys.join(sums, "__key").select(
+        *segments, "node", F.round("persons", 6).alias("persons"), F.posexplode("right").alias("item", "right")
+    ).withColumn("right", F.round("right", 6))
 
 
 def item_parameters(fits: DataFrame, items: Sequence[str] | Column, segments: Sequence[str] = ()) -> DataFrame:
