@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions.inference import MIN_RELIABLE_DF, t_quantile, welch_df
+from tally.functions.inference import t_quantile, welch_df
 from tally.session import stage
 
 MIN_RELIABLE_N = 30
@@ -114,7 +114,6 @@ def mean_gap(
         "ci_low",
         "ci_high",
         significant.alias("is_significant"),
-        (F.col("df") >= MIN_RELIABLE_DF).alias("interval_reliable"),
         _gap_sentence(significant, confidence).alias("interpretation"),
     )
 

@@ -76,13 +76,34 @@ def test_spaced_sample_positions(spark, n):
     assert out[0]["position"] == f"1 of {n:,}"
 
 
-def test_t_quantile_against_known_values(spark):
-    # Published two-sided 95 % and 99 % points of Student's t.
-    known = {0.95: {5: 2.5706, 10: 2.2281, 30: 2.0423, 100: 1.9840}, 0.99: {10: 3.1693, 30: 2.7500, 100: 2.6259}}
-    for confidence, points in known.items():
-        df = spark.createDataFrame([(float(v), q) for v, q in points.items()], "v double, q double")
-        for r in df.select("v", "q", t_quantile(F.col("v"), confidence).alias("t")).collect():
-            assert abs(r["t"] - r["q"]) < (2e-3 if r["v"] < 10 else 4e-4)
+def inside(t, v):
+    """Chance that Student's t with whole degrees of freedom lies within -t and t, as a finite sum."""
+    angle = math.atan(t / math.sqrt(v))
+    total, term = 0.0, math.cos(angle) if v % 2 else 1.0
+    for k in range(v % 2, v - 1, 2):
+        total += term
+        term *= math.cos(angle) ** 2 * (k + 1) / (k + 2)
+    return 2 / math.pi * (angle + math.sin(angle) * total) if v % 2 else math.sin(angle) * total
+
+
+@pytest.mark.parametrize("confidence", [0.5, 0.95, 0.99, 0.999])
+def test_t_quantile_is_the_root(spark, confidence):
+    degrees = [*range(1, 31), 45, 100, 333, 500, 999, 1000, 2001]
+    rows = spark.createDataFrame([(v,) for v in degrees], "v int").select("v", t_quantile(F.col("v"), confidence).alias("t")).collect()
+    for r in rows:
+        low, high = 0.0, 1e4
+        while high - low > 1e-12 * high:
+            middle = (low + high) / 2
+            low, high = (middle, high) if inside(middle, r["v"]) < confidence else (low, middle)
+        assert abs(r["t"] - low) < 1e-9 * max(1.0, low), r
+
+
+def test_t_quantile_between_whole_degrees_and_off_the_range(spark):
+    rows = spark.createDataFrame([(2.0,), (2.5,), (3.0,), (0.0,), (None,)], "v double")
+    t = [r[0] for r in rows.select(t_quantile(F.col("v"), 0.95)).collect()]
+    # Published points: 4.302653 and 3.182446; 3.558 lies between for 2.5 degrees.
+    assert math.isclose(t[0], 4.302652729911275, rel_tol=1e-9) and math.isclose(t[2], 3.182446305284263, rel_tol=1e-9)
+    assert t[2] < t[1] < t[0] and t[3] is None and t[4] is None
 
 
 def scored(spark, shift):
