@@ -318,6 +318,30 @@ def irt_ability(frame):
     return irt.person_abilities(answers, known.withColumn("ability", F.round("ability", 4)), "platform_id", ["segment"])
 
 
+@query(
+    "spaced_abilities",
+    "D_answers",
+    sql=fits.fit_sql(
+        ANSWER_PATTERNS.replace("segment AS key", "'all' AS key"),
+        f"""SELECT platform_id, ability, rank, position FROM (
+WITH people AS (SELECT platform_id, ability FROM (SELECT platform_id, concat({", ".join(ANSWER_ITEMS)}) AS pid FROM D_answers) JOIN
+  (SELECT pid, round(sum(w * x), 4) AS ability FROM {fits.WEIGHTS} JOIN nodes USING (j) GROUP BY pid) USING (pid)),
+sizes AS (SELECT ability, count(*) AS n FROM people GROUP BY ability),
+upto AS (SELECT ability, n, sum(n) OVER (ORDER BY ability DESC) - n AS before, sum(n) OVER () AS total FROM sizes),
+places AS (SELECT CAST(floor(i * (total - 1) / 7) AS BIGINT) AS place, total FROM (SELECT any_value(total) AS total FROM upto), (SELECT unnest(range(0, 8)) AS i)),
+met AS (SELECT place, ability, places.total, row_number() OVER (PARTITION BY ability ORDER BY place) AS turn FROM places JOIN upto ON place >= before AND place < before + n),
+first AS (SELECT *, row_number() OVER (PARTITION BY ability ORDER BY platform_id) AS turn FROM people)
+SELECT platform_id, ability, place + 1 AS rank, concat(format('{{:,}}', place + 1), ' of ', format('{{:,}}', CAST(total AS BIGINT))) AS position FROM met JOIN first USING (ability, turn))""",
+    ),
+)
+def spaced_abilities(frame):
+    """Eight persons evenly spread over the ranking by ability, found from the patterns."""
+    answers = stage(answers_of(frame).drop("segment"), "answers")
+    patterns = stage(irt.response_patterns(answers), "patterns")
+    known = irt.pattern_abilities(patterns, irt.fit_groups(patterns)).withColumn("ability", F.round("ability", 4))
+    return ranking.spaced_groups(known, irt.person_abilities(answers, known, "platform_id"), "ability", "platform_id")
+
+
 # Three levels with two domains each: the first four items as numeracy, the last four as reading.
 GRID_LEVELS = {3: "F", 5: "O", 7: "P"}
 GRID_PATTERNS = " UNION ALL ".join(

@@ -285,6 +285,23 @@ def bands(levels):
     return banded.groupBy("year_level", "band").agg(F.count("*").alias("n"))
 
 
+@query(
+    "band_table",
+    "D_levels",
+    sql="""SELECT year_level, CASE WHEN price IS NOT NULL THEN concat('b', len(list_filter(range(1, 40), lambda i: price / 150 >= 20 * year_level + i * 12.5::DOUBLE))) END AS band, count(*) AS n
+FROM D_levels GROUP BY ALL""",
+)
+def band_table(levels):
+    """Forty bands a level, from a table."""
+    cuts = levels.select("year_level").distinct().select("year_level", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i"))
+    low = F.when(F.col("i") > 0, 20 * F.col("year_level") + 12.5 * F.col("i"))
+    high = F.when(F.col("i") < 39, 20 * F.col("year_level") + 12.5 * (F.col("i") + 1))
+    bands = cuts.select("year_level", low.alias("low"), high.alias("high"), F.concat(F.lit("b"), F.col("i").cast("string")).alias("band"))
+    scored = levels.select("year_level", (F.col("price") / 150).alias("scaled_score"))
+    banded = scores.with_band_table(scored, bands, "scaled_score", "year_level")
+    return banded.groupBy("year_level", "band").agg(F.count("*").alias("n"))
+
+
 @query(
     "conformance",
     "D_levels",

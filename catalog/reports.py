@@ -40,26 +40,54 @@ def value_overlap(renamed, customer):
     return drift.column_overlaps(drift.value_counts(renamed), reference)
 
 
+def blocks_sql(pairs: str) -> str:
+    """CTEs that give ``likeness`` (id, score) of the ``names`` (id, a, b) of ``pairs``: half matching blocks, half shared words.
+
+    Cells of equal letters on one diagonal are a block where they follow each other; the recursion takes
+    the longest block of a range and goes on to the left and to the right of it.
+    """
+    return rf"""names AS ({pairs}),
+blocks AS (
+  SELECT id, a, b, 0 AS xl, length(a) AS xh, 0 AS yl, length(b) AS yh, 0 AS k, 0 AS i, 0 AS j, true AS open FROM names
+  UNION ALL
+  SELECT * FROM (
+    WITH cells AS (SELECT r.*, x FROM (SELECT *, unnest(range(xl, xh)) AS x FROM blocks WHERE open AND xl < xh AND yl < yh) AS r),
+    equal AS (SELECT * FROM (SELECT *, unnest(range(yl, yh)) AS y FROM cells) WHERE substring(a, x + 1, 1) = substring(b, y + 1, 1)),
+    runs AS (SELECT *, x - row_number() OVER (PARTITION BY id, xl, xh, yl, yh, x - y ORDER BY x) AS run FROM equal),
+    sized AS (SELECT id, a, b, xl, xh, yl, yh, count(*) AS k, min(x) AS i, min(y) AS j FROM runs GROUP BY id, a, b, xl, xh, yl, yh, x - y, run),
+    best AS (SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY id, xl, xh, yl, yh ORDER BY k DESC, i, j) = 1)
+    SELECT id, a, b, xl, xh, yl, yh, k, i, j, false FROM best
+    UNION ALL SELECT id, a, b, xl, i, yl, j, 0, 0, 0, true FROM best
+    UNION ALL SELECT id, a, b, i + k, xh, j + k, yh, 0, 0, 0, true FROM best
+  )
+),
+worded AS (SELECT *, list_distinct(regexp_split_to_array(a, '[_\s]+')) AS s, list_distinct(regexp_split_to_array(b, '[_\s]+')) AS t FROM names),
+likeness AS (SELECT id, round(0.5 * (2.0::DOUBLE * matched / (length(a) + length(b))) + 0.5 * (len(list_intersect(s, t)) / len(list_distinct(s || t))), 3) AS score
+  FROM worded JOIN (SELECT id, sum(k) AS matched FROM blocks GROUP BY id) USING (id))"""
+
+
+@query("sketch_overlap", "D_renamed", "customer", sql=f"WITH {CELLS_SQL}, {REF_SQL}, {OVERLAP_SQL} SELECT * FROM shared")
+def sketch_overlap(renamed, customer):
+    """The same from sketches; exact while a column has no more distinct values than a sketch holds."""
+    return drift.sketched_overlaps(renamed, customer, "c_custkey", log2_size=16)
+
+
 @query(
     "name_similarity",
     "part",
-    sql=r"""WITH n AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type || '_' || p_name) AS b FROM part),
-g AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(a), 2)), lambda i: a[i:i+1])) AS x,
-  list_distinct(list_transform(range(1, greatest(length(b), 2)), lambda i: b[i:i+1])) AS y,
-  list_distinct(regexp_split_to_array(a, '[_\s]+')) AS s, list_distinct(regexp_split_to_array(b, '[_\s]+')) AS t FROM n)
-SELECT p_partkey, round(0.5 * (2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y))) + 0.5 * (len(list_intersect(s, t)) / len(list_distinct(s || t))), 3) AS similarity FROM g""",
+    sql=f"""WITH RECURSIVE {blocks_sql("SELECT p_partkey AS id, lower(p_name) AS a, lower(p_type || '_' || p_name) AS b FROM part")}
+SELECT id AS p_partkey, score AS similarity FROM likeness""",
 )
 def name_similarity(part):
     other = F.concat("p_type", F.lit("_"), "p_name")
-    return part.select("p_partkey", naming.bigram_similarity(F.col("p_name"), other).alias("similarity"))
+    return part.select("p_partkey", naming.similarity(F.col("p_name"), other).alias("similarity"))
 
 
-# The likeness of the few headers is worked out before the job runs; both sides carry it as constants.
-LIKENESS = ", ".join(f"({i}, '{c}', {naming.name_similarity(c, 'customer_id')!r}::DOUBLE)" for i, c in enumerate(RENAMED))
+HEADERS = ", ".join(f"({i}, '{c}', 'customer_id')" for i, c in enumerate(RENAMED))
 
 
-DRIFT_SQL = f"""WITH {CELLS_SQL}, {REF_SQL}, {SHAPE_SQL}, {REF_SHAPE_SQL}, {OVERLAP_SQL},
-sim AS (SELECT * FROM (VALUES {LIKENESS}) v(position, "column", name_similarity)),
+DRIFT_SQL = f"""WITH RECURSIVE {blocks_sql(f"SELECT * FROM (VALUES {HEADERS}) v(id, a, b)")}, {CELLS_SQL}, {REF_SQL}, {SHAPE_SQL}, {REF_SHAPE_SQL}, {OVERLAP_SQL},
+sim AS (SELECT id AS position, a AS "column", score AS name_similarity FROM names JOIN likeness USING (id)),
 s AS (SELECT position, sim."column", 'customer_id' AS target, name_similarity, coalesce(value_overlap, 0.0) AS value_overlap,
   CASE WHEN shapes.shape = (SELECT shape FROM ref_shape) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS format_match FROM sim LEFT JOIN shared USING ("column") LEFT JOIN shapes USING ("column")),
 c AS (SELECT *, round(0.25 * name_similarity + 0.6 * value_overlap + 0.15 * format_match, 3) AS combined FROM s)
@@ -67,7 +95,6 @@ SELECT "column", name_similarity, value_overlap, format_match, combined, target,
   combined >= 0.5 AND row_number() OVER (ORDER BY combined DESC, position) = 1 AS suggested FROM c"""
 
 
-@query("detect_drift_matcher", "D_renamed", "customer", sql=DRIFT_SQL)
 @query("detect_drift", "D_renamed", "customer", sql=DRIFT_SQL)
 def detect_drift(renamed, customer):
     return drift.detect_drift(renamed, "customer_id", "cust_ref", customer, "c_custkey")

@@ -135,6 +135,32 @@ def spaced_sample(df: DataFrame, *order: Column, k: int = 8) -> DataFrame:
     return picked.withColumn("position", label).drop("__n")
 
 
+def spaced_groups(groups: DataFrame, persons: DataFrame, value: str, id_column: str, k: int = 8) -> DataFrame:
+    """The rows of :func:`spaced_sample` by falling ``value``, where values repeat and ``groups`` counts them.
+
+    ``groups`` has ``value`` and ``n`` for some hundred values at most (answer patterns); their running
+    sums say in which value each place of the ranking falls, so persons are never ranked. Persons of one
+    value tie, and the places that fall in it go to those with the least ids, in order; only so many rows
+    of each chosen value leave a task.
+    """
+    sizes = groups.groupBy(value).agg(F.sum("n").alias("n"))
+    upto = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    running = sizes.select(value, "n", (F.sum("n").over(upto) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("total"))
+    gaps = F.greatest(F.least(F.lit(k), F.col("total")) - 1, F.lit(1))
+    places = F.transform(F.sequence(F.lit(0), F.least(F.lit(k), F.col("total")) - 1), lambda i: F.floor(i * (F.col("total") - 1) / gaps))
+    inside = F.filter(places, lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n")))
+    picks = running.select(value, "total", F.posexplode(inside).alias("turn", "place")).withColumn("turn", F.col("turn") + 1)
+    picks = stage(picks, "places")
+    least = Window.partitionBy(value).orderBy(id_column)
+    chosen = persons.join(picks.select(value).distinct(), value, "left_semi").select(
+        id_column, value, F.row_number().over(least).alias("turn")
+    ).filter(F.col("turn") <= k)
+    rank = F.col("place") + 1
+    label = F.concat(F.format_number(rank, 0), F.lit(" of "), F.format_number("total", 0))
+    return chosen.join(picks, [value, "turn"]).select(id_column, value, rank.alias("rank"), label.alias("position"))
+
+
 def summary_stats(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, population deviation and range in one row."""
     return df.agg(
