@@ -9,6 +9,9 @@ from catalog.registry import query
 from tally import fixed
 from tally.functions.values import canonicalise_code
 from tally.operators import reshape, showcase
+from tally.plans import vendor
+from tally.session import stage
+from tally.sources.files import scan_many
 
 ITEMS = [m[0] for m in MARKS]
 DOMAINS = ("Numeracy", "Reading", "Spelling", "Grammar and Punctuation")
@@ -155,3 +158,40 @@ FROM D_results JOIN {REFUSED_SQL} USING (student_id, domain) WHERE raw_score IS
 )
 def refused_but_attempted(results, participation):
     return showcase.refused_but_attempted(results, canonical(participation), limit=None)
+
+
+# Three deliveries of the totals: the first has the even keys, the second raises some of them, the third has all.
+PARTS_SQL = """p AS (SELECT platform_id, domain, raw_score, 0 AS file FROM long WHERE platform_id % 2 = 0
+  UNION ALL SELECT platform_id, domain, raw_score + CASE WHEN platform_id % 3 = 0 THEN 1 ELSE 0 END, 1 FROM long WHERE platform_id % 5 = 0
+  UNION ALL SELECT platform_id, domain, raw_score, 2 FROM long)"""
+
+
+def deliveries(items):
+    scores = stage(reshape.reshape_paper(items, "platform_id").withColumnRenamed("platform_id", "PlatformId"), "scores")
+    raised = F.col("raw_score") + F.when(F.col("PlatformId") % 3 == 0, 1).otherwise(0)
+    return [
+        scores.filter("PlatformId % 2 = 0").withColumn("file", F.lit(0)),
+        scores.filter("PlatformId % 5 = 0").withColumn("raw_score", raised).withColumn("file", F.lit(1)),
+        scores.withColumn("file", F.lit(2)),
+    ]
+
+
+@query(
+    "first_file_scores",
+    "D_items_dup",
+    sql=f"""WITH long AS ({LONG_SQL}), {PARTS_SQL}
+SELECT platform_id AS "PlatformId", domain, raw_score FROM p QUALIFY row_number() OVER (PARTITION BY platform_id, domain ORDER BY file) = 1""",
+)
+def first_file_scores(items):
+    return vendor.first_file_wins(scan_many(deliveries(items)))
+
+
+@query(
+    "vendor_conflicts",
+    "D_items_dup",
+    sql=f"""WITH long AS ({LONG_SQL}), {PARTS_SQL}
+SELECT 'vendor_scores.first_file' AS rule, 'PlatformId' AS "column", count(*) AS changed, 'different scores in several files, first file kept' AS detail
+FROM (SELECT 1 FROM p GROUP BY platform_id, domain HAVING min(raw_score) <> max(raw_score))""",
+)
+def vendor_conflicts(items):
+    return vendor.vendor_conflicts(scan_many(deliveries(items)))

@@ -149,9 +149,6 @@ FORBIDDEN_WORDS = (
     "copy", "install", "load", "export", "import", "call", "set",
 )
 
-# Spark functions that run JVM code; refused as well when a statement is run.
-SPARK_FORBIDDEN_WORDS = ("reflect", "java_method", "try_reflect")
-
 # --- labels -------------------------------------------------------------------
 
 # Abbreviations in column names and how they read.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.operators.ranking import exact_median, global_row_number
+from tally.operators.ranking import median_of, global_row_number
 from tally.session import stage
 
 # Normal-consistency factor of the MAD and the flag threshold.
@@ -65,9 +65,10 @@ def marker_review(scripts: DataFrame, marker: str, score: str, ability: str) ->
         ),
         "residuals",
     )
-    median = exact_median(summary, "mean_residual").select("median").scalar()
+    # Two numbers about one row per marker; they return as literals.
+    median = F.lit(median_of(summary, "mean_residual")[0]).cast("double")
     distances = summary.select(F.abs(F.col("mean_residual") - median).alias("distance"))
-    mad = exact_median(distances, "distance").select("median").scalar()
+    mad = F.lit(median_of(distances, "distance")[0]).cast("double")
     mad = F.when(mad == 0, F.lit(MIN_MAD)).otherwise(mad)
     severity = F.round((F.col("mean_residual") - median) / (MAD_FACTOR * mad), 1)
     side = F.when(F.col("mean_residual") < median, F.lit("harsh")).otherwise(F.lit("lenient"))

@@ -18,6 +18,8 @@ from tally.session import stage
 # rank error is a tenth of that; should the counts show the middle outside, the bracket is widened.
 BRACKET = 1e-5
 ACCURACY = 1_000_000
+# From about so many values in the bracket on they are ordered in ranges, not in one task.
+IN_ONE_TASK = 1_000_000
 
 
 def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -59,40 +61,53 @@ def global_row_number(df: DataFrame, *order: Column, name: str = "rank", total:
     return numbered.select(*df.columns, rank.alias(name), *extra)
 
 
-def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """Exact median as one row ``(median, n)``: a double, null where there are no values, and their number.
+def _middle(counts: DataFrame, first: int, second: int, many: bool) -> list[float | None]:
+    """The values at two ranks of ``(value, n)``; the null value, which comes first, counts what lies below all others."""
+    order = F.asc_nulls_first("value")
+    if many:
+        running = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        ranged = _with_offset(_ranged(counts, [order]).withColumn("__upto", F.sum("n").over(running)), F.sum("n"))
+        last = ranged.withColumn("last", F.col("__before") + F.col("__upto"))
+    else:
+        last = counts.withColumn("last", F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    holds = [(F.col("last") >= rank) & (F.col("last") - F.col("n") < rank) for rank in (first, second)]
+    found = last.filter(holds[0] | holds[1]).orderBy(order).select("value").collect()
+    return [r["value"] for r in found]
+
+
+def median_of(df: DataFrame, column: str) -> tuple[float | None, int]:
+    """Exact median as a double, null where there are no values, and the number of values.
 
-    Two percentiles with a known rank error bracket the middle. What lies below is
-    counted, what lies between collapses to counts, and only that is put in order.
+    One job learns two percentiles with a known rank error and the number of values; a second counts
+    what lies below them and how often each value between them occurs, and finds the middle ranks. The
+    three numbers travel as literals, and the bracket is widened if the middle proves to lie outside.
     """
     values = df.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
     width = BRACKET
     while True:
         near = F.percentile_approx("value", [0.5 - width, 0.5 + width], ACCURACY)
         ends = near if width < 0.5 else F.array(F.min("value"), F.max("value"))
-        bracket = stage(values.agg(ends.alias("ends"), F.count("*").alias("n")), "bracket")
-        low, high = (bracket.select(F.col("ends")[i]).scalar() for i in (0, 1))
-        inside = F.when(F.col("value") >= low, F.col("value"))
-        counts = stage(values.filter(F.col("value") <= high).groupBy(inside.alias("value")).agg(F.count("*").alias("n")), "near")
-        # Three numbers tell whether the middle is inside; all values always hold it.
-        under, upto = counts.agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        n = bracket.first()["n"]
-        if width >= 0.5 or (under < (n + 1) // 2 and upto >= (n + 2) // 2) or not n:
-            break
+        (low, high), n = values.agg(F.coalesce(ends, F.array(F.lit(None), F.lit(None))), F.count("*")).first()
+        if not n:
+            return None, 0
+        inside = F.when(F.col("value") >= F.lit(low), F.col("value"))
+        counts = values.filter(F.col("value") <= F.lit(high)).groupBy(inside.alias("value")).agg(F.count("*").alias("n"))
+        found = _middle(counts, (n + 1) // 2, (n + 2) // 2, n * width * 4 > IN_ONE_TASK)
+        # The null stands for all below; two middles may be one value, and both must be there if they differ.
+        if found and found[0] is not None and (width >= 0.5 or len(found) == 2 or n % 2 or _reaches(counts, n)):
+            return sum(found) / len(found), n
         width *= 100
-    below = F.coalesce(counts.filter("value IS NULL").select(F.sum("n")).scalar(), F.lit(0))
-    ranged = _ranged(counts.filter("value IS NOT NULL"), [F.col("value")])
-    running = Window.partitionBy("__part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    upto = _with_offset(ranged.withColumn("__upto", F.sum("n").over(running)), F.sum("n"))
-    total = bracket.select("n").scalar()
-    last = below + F.col("__before") + F.col("__upto")
-    first, second = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
 
-    def holds(rank: Column) -> Column:
-        return (last >= rank) & (last - F.col("n") < rank)
 
-    middle = upto.filter(holds(first) | holds(second))
-    return middle.agg(F.avg("value").alias("median")).select("median", total.alias("n"))
+def _reaches(counts: DataFrame, n: int) -> bool:
+    """Whether the counted values reach the upper of two middles."""
+    return (counts.agg(F.sum("n")).first()[0] or 0) >= (n + 2) // 2
+
+
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """:func:`median_of` as one row ``(median, n)``."""
+    median, n = median_of(df, column)
+    return df.sparkSession.range(1).select(F.lit(median).cast("double").alias("median"), F.lit(n).cast("bigint").alias("n"))
 
 
 def approx_median(df: DataFrame, column: str, accuracy: int = 10_000) -> DataFrame:
@@ -130,7 +145,7 @@ def spaced_sample(df: DataFrame, *order: Column, k: int = 8) -> DataFrame:
     place = F.col("rank") - 1
     # Position i sits at floor(i * last / gaps); find the i that could land here.
     i = F.ceil(place * gaps / F.greatest(last, F.lit(1)))
-    picked = ranked.filter(F.floor(i * last / gaps) == place)
+    picked = ranked.filter((F.floor(i * last / gaps) == place) & (i < k))
     label = F.concat(F.format_number("rank", 0), F.lit(" of "), F.format_number("__n", 0))
     return picked.withColumn("position", label).drop("__n")
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tally import fixed
 from tally.functions.sqltext import screen
 from tally.operators.routing import Template, nearest, route
-from tally.session import literal_rows, tune
+from tally.plans.plancheck import refused_by_plan
+from tally.session import literal_rows, stage, tune
+from tally.sources.files import table_path
 
 ROW_LIMIT = 1000
 MIN_GROUP = 20
@@ -159,33 +161,28 @@ def guarded_session(spark: SparkSession, tables: dict[str, str]) -> SparkSession
 def run_guarded(spark: SparkSession, sql: str, tables: dict[str, str], row_limit: int = ROW_LIMIT) -> Answer:
     """Screen a statement, then run it read-only with a row cap; ``truncated`` says that the cap cut rows.
 
-    The statement stays on the answer whatever happens. Files cannot be named in
-    the text, functions that run JVM code and scripts are refused.
+    The text is screened first, then the tree that Spark parses it to: commands, scripts, functions that
+    run JVM code and relations other than ``tables`` are refused. The statement stays on the answer
+    whatever happens. It runs once, for one row more than is shown.
     """
-    ok, cleaned, reason = screen_one(spark, sql, fixed.SPARK_FORBIDDEN_WORDS)
+    ok, cleaned, reason = screen_one(spark, sql)
     answer = Answer(question="", sql=cleaned or sql)
-    if not ok:
+    if ok:
+        reason = refused_by_plan(spark, cleaned, tables)
+    if reason:
         answer.error = reason
         answer.suggestion = "Ask for a plain SELECT over the listed tables."
         return answer
     try:
-        if _runs_script(cleaned):
-            raise ValueError("scripts are not allowed")
-        rows = guarded_session(spark, tables).sql(cleaned)
+        rows = stage(guarded_session(spark, tables).sql(cleaned).limit(row_limit + 1), "answer")
+        answer.truncated = rows.count() > row_limit
         answer.rows = capped(rows, row_limit)
-        # One row more than is shown tells whether there are more.
-        answer.truncated = rows.limit(row_limit + 1).count() > row_limit
     except (PySparkException, ValueError) as exc:
         answer.error = f"execution failed: {exc}"
         answer.suggestion = "The statement reads well but did not run; check names against the tables."
     return answer
 
 
-def _runs_script(sql: str) -> bool:
-    """True for ``TRANSFORM ... USING 'command'``; quoted text is left out of the search."""
-    return re.search(r"(?i)\busing\s*['\"]", re.sub("'[^']*'", "''", sql)) is not None
-
-
 def answer_question(
     spark: SparkSession, question: str, tables: dict[str, str], templates=TEMPLATES, row_limit: int = ROW_LIMIT
 ) -> Answer:
@@ -206,4 +203,5 @@ def answer_question(
 
 
 def clean_paths(root: str, names=("students", "results", "schools")) -> dict[str, str]:
-    return {n: f"{root}/{n}" for n in names}
+    """Where the clean tables under ``root`` lie now."""
+    return {n: table_path(SparkSession.active(), root, n) for n in names}

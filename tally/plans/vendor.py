@@ -27,14 +27,35 @@ def read_vendor(spark: SparkSession, raw_dir: str) -> dict[str, dict]:
     }
 
 
-def vendor_scores(paper: Mapping[int, DataFrame], writing: Mapping[str, DataFrame]) -> DataFrame:
-    """All files as ``(PlatformId, domain, raw_score)``.
+def vendor_parts(paper: Mapping[int, DataFrame], writing: Mapping[str, DataFrame]) -> DataFrame:
+    """All files as ``(PlatformId, domain, raw_score, file)``; ``file`` counts them in the order given, paper first.
 
     Item headers carry the year level, so each file is reshaped before the union.
     """
     parts = [reshape.reshape_paper(df) for df in paper.values()]
     parts += [reshape.reshape_writing(df) for df in writing.values()]
-    return scan_many(parts).groupBy("PlatformId", "domain").agg(F.max("raw_score").alias("raw_score"))
+    return scan_many(p.withColumn("file", F.lit(i)) for i, p in enumerate(parts))
+
+
+def first_file_wins(parts: DataFrame) -> DataFrame:
+    """One score per student and domain: where several files have it, that of the first file."""
+    first = F.min(F.struct("file", "raw_score")).alias("first")
+    return parts.groupBy("PlatformId", "domain").agg(first).select("PlatformId", "domain", F.col("first.raw_score").alias("raw_score"))
+
+
+def vendor_scores(paper: Mapping[int, DataFrame], writing: Mapping[str, DataFrame]) -> DataFrame:
+    """All files as ``(PlatformId, domain, raw_score)``, the first file's score where a student stands in two."""
+    return first_file_wins(vendor_parts(paper, writing))
+
+
+def vendor_conflicts(parts: DataFrame) -> DataFrame:
+    """One report row: pairs that stand in several files with different scores, of which the first file's was taken."""
+    per_pair = parts.groupBy("PlatformId", "domain").agg((F.min("raw_score") != F.max("raw_score")).alias("differ"))
+    found = per_pair.agg(F.coalesce(F.count_if("differ"), F.lit(0)).alias("changed"))
+    return found.select(
+        F.lit("vendor_scores.first_file").alias("rule"), F.lit("PlatformId").alias("column"), "changed",
+        F.lit("different scores in several files, first file kept").alias("detail"),
+    )
 
 
 def reconcile_vendor(vendor: DataFrame, results: DataFrame, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:

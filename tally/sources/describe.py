@@ -77,20 +77,19 @@ def write_dictionary(tables: Mapping[str, DataFrame], path: str, notes: Mapping[
 def source_inventory(sources: Mapping[str, DataFrame]) -> DataFrame:
     """Files, rows, columns and bytes per source, and a total row.
 
-    File names and sizes come from the scan's own metadata; rows are counted per
-    file without reading a data column.
+    File names and sizes come from the scan's own metadata; rows are counted per file without reading a
+    data column, each source is scanned once, and the total is the roll-up of the same rows.
     """
-    parts = []
-    for name, df in sources.items():
-        files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b"))
-        per_file = files.groupBy("p", "b").agg(F.count("*").alias("n"))
-        parts.append(
-            per_file.agg(F.count("*").alias("n_files"), F.sum("n").alias("n_rows"), F.sum("b").alias("n_bytes")).select(
-                F.lit(name).alias("source"), "n_files", "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "n_bytes"
-            )
+    parts = [
+        df.select(
+            F.lit(name).alias("source"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b"),
+            F.lit(len(df.columns)).cast("bigint").alias("k"),
         )
-    listed = reduce(DataFrame.unionAll, parts)
-    total = listed.agg(
-        F.sum("n_files").alias("n_files"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes")
-    ).select(F.lit("total").alias("source"), "n_files", "n_rows", F.lit(None).cast("bigint").alias("n_columns"), "n_bytes")
-    return listed.unionByName(total)
+        for name, df in sources.items()
+    ]
+    per_file = reduce(DataFrame.unionAll, parts).groupBy("source", "p", "b", "k").agg(F.count("*").alias("n"))
+    total = F.grouping("source") == 1
+    return per_file.rollup("source").agg(
+        total.alias("all"), F.count("*").alias("n_files"), F.sum("n").alias("n_rows"),
+        F.when(~total, F.max("k")).alias("n_columns"), F.sum("b").alias("n_bytes"),
+    ).select(F.when(F.col("all"), F.lit("total")).otherwise(F.col("source")).alias("source"), "n_files", "n_rows", "n_columns", "n_bytes")

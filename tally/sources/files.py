@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
+import time
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +17,10 @@ from pyspark.sql import types as T
 from tally import fixed
 from tally.operators.reshape import header_domain
 
+# Under the root of the clean tables: a folder for each load, and what names the tables in use.
+LOADS = "loads"
+MANIFESTS = "manifests"
+
 # Quotes are doubled inside quoted text and blanks are data, on both sides.
 _CSV = {
     "header": True,
@@ -71,17 +79,50 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str, partition_by: Mapping[str, Sequence[str]] | None = None) -> str:
-    """Write every table under ``root``, replacing what was there."""
+    """Write every table under ``root`` beside what is there, then let readers see all of them at once.
+
+    Each load has a folder of its own; a manifest, one small file that appears as a whole once all
+    tables are written, names where each table lies. A load that fails leaves the old manifest, and
+    readers of the old tables keep their files. One load at a time writes to a root.
+    """
+    load = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
+        writer = df.write
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
-        writer.parquet(os.path.join(root, name))
+        writer.parquet(os.path.join(root, LOADS, load, name))
+    spark = next(iter(tables.values())).sparkSession
+    lies = table_folders(spark, root) | {name: f"{LOADS}/{load}/{name}" for name in tables}
+    line = spark.range(1).select(F.lit(json.dumps(lies)).alias("value")).coalesce(1)
+    line.write.text(os.path.join(root, MANIFESTS, load))
     return root
 
 
+def table_folders(spark: SparkSession, root: str) -> dict[str, str]:
+    """The newest manifest under ``root``: table to folder; empty where none has been written."""
+    try:
+        lines = spark.read.option("recursiveFileLookup", "true").text(os.path.join(root, MANIFESTS))
+        newest = lines.orderBy(F.desc("_metadata.file_path")).first()
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return json.loads(newest["value"]) if newest else {}
+
+
+def table_path(spark: SparkSession, root: str, name: str) -> str:
+    return os.path.join(root, table_folders(spark, root).get(name, name))
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(root, name))
+    return spark.read.parquet(table_path(spark, root, name))
+
+
+def replace_partitions(df: DataFrame, root: str, name: str, by: Sequence[str]) -> str:
+    """Replace those partitions of a table that ``df`` has rows for; all others stay as they are."""
+    path = table_path(df.sparkSession, root, name)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    return path
 
 
 def register(tables: Mapping[str, DataFrame]) -> None:

@@ -26,15 +26,15 @@ CASES = [
     (lambda c: text.trim_case(c, "initcap"), [" old miller's"], ["Old Miller's"]),
     (text.normalise_id, ["0042917", "0000", "", " 07 ", "Q20", None], ["42917", "0", "0", "7", "Q20", None]),
     (text.pad_code, ["614", "0614", "70252", "", None], ["0614", "0614", "70252", "0000", None]),
-    (values.recode_sentinels, ["27", "999", "-1", "999.0", " 9999 ", "500.5", "999.00", None],
-     ["27", None, None, None, None, "500.5", "999.00", None]),
+    (values.recode_sentinels, ["31", "999", "-1", "999.0", " 9999 ", "62.25", "999.00", None],
+     ["31", None, None, None, None, "62.25", "999.00", None]),
     (values.coerce_numeric, ["5", " 5.5 ", "absent", "1d", "1f", ".5", "-2e3", "NaN", "", None],
      [5.0, 5.5, None, None, None, 0.5, -2000.0, None, None, None]),
     (values.whole_number, ["2024", "2024.0", "x", None], [2024, 2024, None, None]),
     (values.parse_level, ["3", "Year 9", "none", None], [3, 9, None, None]),
     (values.parse_dates,
-     ["2016-10-08", "14/03/2016", "03/04/2016", "03/14/2016", "14-Mar-16", "14-MAR-97", "1/2/2016", "31/02/2016", "not-a-date", "2016-13-01", "14/03-2016", None],
-     ["2016-10-08", "2016-03-14", "2016-04-03", "2016-03-14", "2016-03-14", "1997-03-14", "2016-02-01", None, None, None, None, None]),
+     ["2016-10-08", "14/03/2016", "03/04/2016", "03/14/2016", "9-Sep-04", "09-SEP-88", "1/2/2016", "31/02/2016", "not-a-date", "2016-13-01", "14/03-2016", None],
+     ["2016-10-08", "2016-03-14", "2016-04-03", "2016-03-14", "2004-09-09", "1988-09-09", "2016-02-01", None, None, None, None, None]),
     (text.is_lossy, ["Chlo?", "Zo�", "Zoë", None], [True, True, False, False]),
     (text.is_odd_name, ["D'Arcy-Noë W", "Mi^ra", None], [False, True, False]),
     (naming.fingerprint, ["Q204417Z", "b-7"], ["A999999A", "A-9"]),
@@ -49,8 +49,8 @@ def test_rule(spark, fn, dirty, clean):
 def test_every_spelling_of_every_code_maps(spark):
     for vocabulary in fixed.CODES.values():
         pairs = [(f"\t{v.swapcase()} ", canon) for canon, vs in vocabulary.items() for v in vs]
-        out = through(spark, lambda c: values.canonicalise_code(c, vocabulary), [p[0] for p in pairs] + ["Astronomy", None])
-        assert out == [p[1] for p in pairs] + ["Astronomy", None]
+        out = through(spark, lambda c: values.canonicalise_code(c, vocabulary), [p[0] for p in pairs] + ["Falconry", None])
+        assert out == [p[1] for p in pairs] + ["Falconry", None]
 
 
 def test_not_attempted(spark):
