@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ PERCENT = 75
 RARITY_BITS = 22
 SLICE = 1 << 16
 # How many sets of a group all others are paired with, round by round, before what is left is joined pair by pair.
-HUBS = (1, 3, 3)
+HUBS = (1, 3)
 # Bits of the bitmaps of shingles that may be shared and of texts whose sets are wanted; false positives cost time only.
 SHARED_BITS = 26
 TEXT_BITS = 22
@@ -109,11 +110,12 @@ def rarity_table(profile: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(rarity: np.ndarray, shared: np.ndarray | None):
-    """Prefix shingles of each set; with ``shared``, only those that the bitmap says another set may have, too."""
-    mask = np.uint64(len(rarity) - 1)
+def _prefixes(rarity_: Broadcast, shared_: Broadcast | None):
+    """Prefix shingles of each set; with ``shared_``, only those that its bitmap says another set may have, too."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity, shared = rarity_.value, shared_ and shared_.value
+        mask = np.uint64(len(rarity) - 1)
         done = set()
         for batch in small_batches(batches):
             keys, owners, sizes, places = ([np.empty(0, t)] for t in (np.int64, np.int64, np.int32, np.int32))
@@ -216,6 +218,27 @@ def components(links: DataFrame) -> DataFrame:
             )
 
 
+def _pairs_and_groups(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of keys that just two sets hold, filtered; and the rows of keys that more sets hold, each a component of its own.
+
+    Most keys that are shared by chance are of the first kind, and done with at once.
+    """
+    entry = F.struct("f", "n", "pos")
+    held = shared.groupBy("h").agg(F.count("*").alias("c"), F.min(entry).alias("x"), F.max(entry).alias("y"))
+    held = stage(held.where("c > 1"), "held")
+    near = _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    alone = held.where("c = 2").where(near).select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).distinct()
+    many = shared.join(held.where("c > 2").select("h"), "h", "left_semi").withColumn("comp", F.col("f"))
+    return alone, stage(many, "many")
+
+
+def _still_apart(rows: DataFrame) -> DataFrame:
+    """The rows of keys that still hold two components, written anew: the others have no pair left to look at."""
+    rows = stage(rows, "placed")
+    apart = rows.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h")
+    return stage(rows.join(apart, "h", "left_semi"), "apart")
+
+
 def _star(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs of each set with a few of those that share its shingle and are about as long, where components meet."""
     key = ["h", "about"]
@@ -233,9 +256,7 @@ def _star(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _rest(rows: DataFrame) -> DataFrame:
-    """All pairs of sets in different components that share a shingle and pass the filters."""
-    mixed_ = rows.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h")
-    rows = rows.join(mixed_, "h")
+    """All pairs of sets in different components that share a shingle and pass the filters; ``rows`` are of keys that hold such."""
     x, y = rows.alias("x"), rows.alias("y")
     differ = (F.col("x.h") == F.col("y.h")) & (F.col("x.f") < F.col("y.f")) & (F.col("x.comp") != F.col("y.comp"))
     near = _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
@@ -253,18 +274,24 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.first("n").alias("n"), F.first("parts").alias("parts"), F.min("text_hash").alias("text_hash")
     )
     schema = "h long, f long, n int, pos int"
+    # Fixed in size, and used by two jobs: sent to the executors once, not with each plan.
+    rarity = docs.sparkSession.sparkContext.broadcast(rarity)
     keys = docs.select("text").mapInArrow(_prefixes(rarity, None), schema)
     often = bitmap_array(keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h", SHARED_BITS)
+    often = docs.sparkSession.sparkContext.broadcast(often)
     shared = stage(docs.select("text").mapInArrow(_prefixes(rarity, often), schema).distinct(), "shared")
-    del keys, rarity, often
+    rarity.unpersist()
+    often.unpersist()
+    alone, placed = _pairs_and_groups(shared)
     links = tried = comps = sets = None
     for turn in range(len(HUBS) + 1):
-        if comps is None:
-            placed = shared.withColumn("comp", F.col("f"))
-        else:
-            placed = shared.join(comps.withColumnRenamed("v", "f"), "f", "left")
-            placed = placed.withColumn("comp", F.coalesce("root", "f")).drop("root")
+        if comps is not None:
+            placed = _still_apart(placed.drop("comp").join(comps.withColumnRenamed("v", "f"), "f", "left").select(
+                "h", "f", "n", "pos", F.coalesce("root", "f").alias("comp")
+            ))
         pairs = _rest(placed) if turn == len(HUBS) else _star(placed, turn)
+        if turn == 0:
+            pairs = pairs.unionByName(alone).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         near = stage(suffix_filtered(pairs, classes), "near")
