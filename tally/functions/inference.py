@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from statistics import NormalDist
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,10 +44,7 @@ def half_gamma_ratio(z: Column) -> Column:
     series = F.log(far) / 2
     for power, over in ((1, -8.0), (3, 192.0), (5, -640.0), (7, 14336 / 17), (9, -18432 / 31)):
         series = series + 1 / (over * F.pow(far, F.lit(float(power))))
-    steps = F.lit(0.0)
-    for k in range(12):
-        steps = steps + F.log((z + k) / (z + k + 0.5))
-    return series + steps
+    return F.aggregate(F.sequence(F.lit(0), F.lit(11)), series, lambda t, k: t + F.log((z + k) / (z + k + 0.5)))
 
 
 def _fraction(a: Column, b: Column, x: Column) -> Column:
@@ -71,11 +70,15 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
 
 def t_inside(t: Column, v: Column, scale: Column) -> Column:
     """Chance that Student's t with ``v`` degrees of freedom lies between -t and t; ``scale`` is ``1 / beta(1/2, v/2)``."""
-    x, y, b, half = v / (v + t * t), t * t / (v + t * t), v / 2, F.lit(0.5)
-    front = F.sqrt(y) * F.exp(-b * F.log1p(t * t / v)) * scale
-    low = front / half * _fraction(half, b, y)
-    high = 1 - front / b * _fraction(b, half, x)
-    return F.when(y < 1.5 / (b + 2.5), low).otherwise(high)
+    y = t * t / (v + t * t)
+    # The fraction converges fast on one side of its mean; beyond it, the other tail is worked out.
+    low = y < 1.5 / (v / 2 + 2.5)
+    sides = F.when(low, F.struct(F.lit(0.5).alias("a"), (v / 2).alias("b"), y.alias("x"))).otherwise(
+        F.struct((v / 2).alias("a"), F.lit(0.5).alias("b"), (1 - y).alias("x"))
+    )
+    front = F.sqrt(y) * F.exp(-v / 2 * F.log1p(t * t / v)) * scale
+    tail = _let(sides, lambda s: front / s["a"] * _fraction(s["a"], s["b"], s["x"]))
+    return F.when(low, tail).otherwise(1 - tail)
 
 
 def t_solved(v: Column, confidence: float) -> Column:
@@ -108,6 +111,16 @@ def t_quantile(v: Column, confidence: float) -> Column:
     return F.when(v >= EXPANSION_FROM, far).when(v > 0, t_solved(v, confidence))
 
 
+@functools.lru_cache(maxsize=64)
+def _known_quantile(gateway, name: str, confidence: float) -> Column:
+    return t_quantile(F.col(name), confidence)
+
+
+def t_quantile_of(name: str, confidence: float) -> Column:
+    """:func:`t_quantile` of a column by name; put together once for each JVM, as the expression is long."""
+    return _known_quantile(SparkContext._gateway, name, confidence)
+
+
 def welch_df(var_a: Column, n_a: Column, var_b: Column, n_b: Column) -> Column:
     """Welch-Satterthwaite degrees of freedom."""
     a, b = var_a / n_a, var_b / n_b

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions.inference import t_quantile, welch_df
+from tally.functions.inference import t_quantile_of, welch_df
 from tally.session import stage
 
 MIN_RELIABLE_N = 30
@@ -93,7 +93,7 @@ def mean_gap(
     )
     var_a, var_b = F.col("sd_a") * F.col("sd_a"), F.col("sd_b") * F.col("sd_b")
     df_welch = welch_df(var_a, F.col("n_a"), var_b, F.col("n_b"))
-    margin = t_quantile(F.col("df"), confidence) * F.sqrt(var_a / F.col("n_a") + var_b / F.col("n_b"))
+    margin = t_quantile_of("df", confidence) * F.sqrt(var_a / F.col("n_a") + var_b / F.col("n_b"))
     gap = F.col("difference")
     out = (
         stats.filter((F.col("n_a") > 1) & (F.col("n_b") > 1))
