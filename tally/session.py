@@ -21,6 +21,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Removes the shuffle files of an SQL job when the job ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings to an existing session."""
@@ -71,11 +74,21 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
     Used where several later steps read one expensive result: the work is done a
     single time, the lineage is cut, the result outlives lost executors, and
-    Catalyst sees the table's true size when it picks join strategies.
+    Catalyst sees the table's true size when it picks join strategies. The shuffle
+    files of the job go with its end, since what follows reads the table.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def literal_rows(spark: SparkSession, names: Sequence[str], rows: Iterable[Sequence]) -> DataFrame:
