@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from tally import session
 from tally.functions import naming
 from tally.operators import drift, ranking, scores
 from tally.plans import plancheck, questions, vendor
@@ -146,3 +147,16 @@ def test_median_in_ranges_and_in_one_task(spark, monkeypatch, many):
     monkeypatch.setattr(ranking, "IN_ONE_TASK", 0 if many == 1 else many)
     for values in ([3.0, 1.0], [1.0] * 7, [float(i % 9) for i in range(100)], [5.0], [1.0, 2.0, 2.0, 7.0]):
         assert ranking.median_of(spark.createDataFrame([(v,) for v in values], "v double"), "v") == (statistics.median(values), len(values))
+
+
+def test_a_staged_write_leaves_the_session_as_it_was(spark):
+    before = spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    df.collect()
+    first, second = session.stage(df), session.stage(df)
+    # A frame that ran before it is staged, and one staged twice, give the same rows again.
+    assert sorted(first.collect()) == sorted(second.collect()) == sorted(df.collect())
+    assert spark.conf.get(session.SHUFFLE_CLEANUP, None) == before
+    with pytest.raises(Exception):
+        session.stage(df.select(F.raise_error(F.lit("no")).alias("x")))
+    assert spark.conf.get(session.SHUFFLE_CLEANUP, None) == before
