@@ -1,15 +1,18 @@
-"""Line dedup by a dense join of line windows.
+"""Line dedup by winnowing over line hashes.
 
-Blank lines aside, every window of ``LINES`` lines is joined with the first of its kind on the hash of its lines
-(and its least line hash, which that implies); no windows are selected, so this is not winnowing. Windows that meet
-the same earlier text at the same distance are one run, and the lines of all runs but the first are deleted. A run
-of ``LINES`` lines or more that repeats is always found; a shorter one in a longer text is not, as in the SQL twin.
+Blank lines aside, of every window of ``LINES`` lines the line of the least hash is selected, the last of equals, so
+two texts that share a window select the same line of it. Selected lines are the fingerprints: they alone are joined,
+those that stand once fall out, and around each of the others the windows that selected it are compared with the
+first of their kind. So a match reaches from the selected line to both sides; matches with the same earlier text at the
+same distance that overlap grow into one run, and the lines of all runs but the first are deleted. A run of ``LINES``
+lines or more that repeats is always found; a shorter one in a longer text is not, as in the SQL twin.
 
 Texts are ordered by id (null first), then text hash; a run is later if it begins further on in that
 order. Defined results: null and empty texts have no lines and stay as they are (a null as an empty
 text); a text with fewer lines than a window is one window and repeats only a text as short; rows
-equal in id and text are one text, so neither is the later; an empty table gives an empty table.
-Other columns are not read, so their names may clash.
+equal in id and text are one text, so neither is the later; of equal lines of one window the last is selected; a very
+long text is read whole, and its fingerprints leave the task in batches of about ``BATCH`` windows and one text; an
+empty table gives an empty table. Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -18,54 +21,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import table
+from tally.llm.common import WordHashes, shingle_hashes, table
 from tally.llm.registry import query
 from tally.session import stage
 
 LINES = 3
+BATCH = 200_000
 _BLANK = " \t\n\x0b\x0c\r"
-SCHEMA = "doc_id long, text_hash long, fingerprint long, window long, at int, until int"
+SCHEMA = "doc_id long, text_hash long, fingerprint long, windows array<struct<window: long, at: int, until: int>>"
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window: its fingerprint, the hash of its lines, its first and last line."""
+def winnowed(h: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` hashes the place of its minimum, the last of equals; never falling."""
+    view = np.lib.stride_tricks.sliding_window_view(h, width)
+    return np.arange(len(view)) + (width - 1 - view[:, ::-1].argmin(1))
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each selected line: its hash, and hash, first and last line of each window that selected it."""
+    hashes = WordHashes(100_000)
+
+    def batch_of(batch: pa.RecordBatch, rows: dict[str, list]) -> pa.RecordBatch:
+        parts = {c: np.concatenate(v) for c, v in rows.items()}
+        size = parts.pop("size")
+        own = pa.array(parts.pop("row"))
+        windows = pa.StructArray.from_arrays([pa.array(parts[c]) for c in ("window", "at", "until")], ["window", "at", "until"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(own), batch.column("text_hash").take(own), pa.array(parts["fingerprint"])]
+            + [pa.ListArray.from_arrays(ends, windows)],
+            names=["doc_id", "text_hash", "fingerprint", "windows"],
+        )
+
+    names = ("row", "fingerprint", "size", "window", "at", "until")
     for batch in batches:
-        rows: dict[str, list] = {c: [] for c in ("row", "fingerprint", "window", "at", "until")}
-        for k, text in enumerate(batch.column("text").to_pylist()):
-            lines = [(i, line) for i, line in enumerate((text or "").split("\n")) if line.strip(_BLANK)]
+        rows: dict[str, list] = {c: [] for c in names}
+        held = 0
+        for k, text in enumerate(batch.column("text")):
+            lines = [(i, line) for i, line in enumerate((text.as_py() or "").split("\n")) if line.strip(_BLANK)]
             if not lines:
                 continue
             at = np.array([i for i, _ in lines], np.int32)
-            h = np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) for _, line in lines], np.uint64)
+            h = hashes.of([line for _, line in lines])
             width = min(LINES, len(h))
-            view = np.lib.stride_tricks.sliding_window_view(h, width)
-            rows["row"].append(np.full(len(view), k))
-            rows["fingerprint"].append(view.min(1).view(np.int64))
-            rows["window"].append(
-                np.array([xxhash.xxh3_64_intdigest(w.tobytes(), width) for w in view], np.uint64).view(np.int64)
-            )
-            rows["at"].append(at[: len(view)])
+            chosen = winnowed(h, width)
+            begin = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+            rows["row"].append(np.full(len(begin), k))
+            rows["fingerprint"].append(h[chosen[begin]].view(np.int64))
+            rows["size"].append(np.diff(begin, append=len(chosen)))
+            rows["window"].append(shingle_hashes(h, width).view(np.int64))
+            rows["at"].append(at[: len(chosen)])
             rows["until"].append(at[width - 1 :])
-        if rows["row"]:
-            own = pa.array(np.concatenate(rows["row"]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(own), batch.column("text_hash").take(own)]
-                + [pa.array(np.concatenate(rows[c])) for c in ("fingerprint", "window", "at", "until")],
-                names=["doc_id", "text_hash", "fingerprint", "window", "at", "until"],
-            )
+            held += len(chosen)
+            if held >= BATCH:
+                yield batch_of(batch, rows)
+                rows, held = {c: [] for c in names}, 0
+        if held:
+            yield batch_of(batch, rows)
 
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
     """Rows (``doc_id, text_hash, begin, end, first_doc_id, first_begin``): runs of lines that stand earlier, too."""
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    windows = stage(docs.mapInArrow(_windows, SCHEMA).distinct(), "windows")
+    selected = stage(docs.mapInArrow(_fingerprints, SCHEMA), "fingerprints")
+    often = selected.groupBy("fingerprint").agg(F.count("*").alias("times")).where("times > 1").select("fingerprint")
+    shared = selected.join(often, "fingerprint", "left_semi")
+    windows = stage(shared.select("doc_id", "text_hash", "fingerprint", F.inline("windows")), "windows")
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "text_hash", "at")
     key = ["fingerprint", "window"]
     first = windows.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    # Rows of one text given twice lie at the same place, so neither is later.
     later = windows.join(first.drop("times"), key).where(place > F.col("first"))
     later = later.withColumn("shift", F.col("at") - F.col("first.at"))
     same = ["doc_id", "text_hash", "first.doc_id", "first.text_hash", "shift"]
