@@ -87,14 +87,17 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     """Rows (``doc_id, text_hash, begin, end, first_doc_id, first_begin``): runs of lines that stand earlier, too."""
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     selected = stage(docs.mapInArrow(_fingerprints, SCHEMA), "fingerprints")
+    # Staged, so that both sides of the joins are plain shuffles and a line that stands everywhere can be split.
     often = selected.groupBy("fingerprint").agg(F.count("*").alias("times")).where("times > 1").select("fingerprint")
+    often = stage(often, "often")
     shared = selected.join(often, "fingerprint", "left_semi")
     windows = stage(shared.select("doc_id", "text_hash", "fingerprint", F.inline("windows")), "windows")
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "text_hash", "at")
     key = ["fingerprint", "window"]
     first = windows.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    first = stage(first.drop("times"), "first")
     # Rows of one text given twice lie at the same place, so neither is later.
-    later = windows.join(first.drop("times"), key).where(place > F.col("first"))
+    later = windows.join(first, key).where(place > F.col("first"))
     later = later.withColumn("shift", F.col("at") - F.col("first.at"))
     same = ["doc_id", "text_hash", "first.doc_id", "first.text_hash", "shift"]
     along = Window.partitionBy(*same).orderBy("at")
