@@ -3,15 +3,19 @@
 Documents carry labels, words do not, so words are labelled first: features of words (the word, and
 its first letters) that stand in toxic documents far more often than elsewhere, each counted once for
 every word that stands before it so that copies count little. The two-state chain is fitted by
-gradient ascent on segments of labelled documents, forward-backward gives each word's marginal, and a
+gradient ascent on whole labelled documents, forward-backward gives each word's marginal, and a
 logistic curve over the log of their sum gives the document's score. Words with a marginal of a half
 or more are the offending spans, given as offsets in code points.
 
-Fitting uses at most ``MAX_LABELLED`` labelled rows of either label, by the order of a hash, in one
-task; scoring uses texts alone, each in its own task. Defined results: null and empty texts have no words and the
-least score; labels that are null or contradict each other are not used; without toxic labels nothing
-is toxic; repeated rows are scored alike; an empty table gives an empty table. Other columns are not
-read, so their names may clash.
+A chain runs over a whole text and is never cut. Words without a known feature all weigh the same, so messages
+cross a stretch of them by a power of one matrix, and its marginals and moves add up in closed form; work and memory
+beyond the reading of a text go with its words that have known features.
+
+Fitting uses at most ``limit`` labelled rows of either label, by the order of a hash, in one task; all features that
+are clear enough there are kept. Scoring uses texts alone, each in its own task. Defined results: null and empty texts
+have no words and the least score; labels that are null or contradict each other are not used; without toxic labels
+nothing is toxic; repeated rows are scored alike; very long texts are scored whole; rows of equal hash are taken in the
+order of their ids; an empty table gives an empty table. Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -32,11 +36,8 @@ from tally.session import stage
 
 FOLDS = 5
 MAX_LABELLED = 3_000
-SEGMENT = 64
 PREFIXES = (4, 5, 6)
 MIN_GAIN = 12.0
-MAX_FEATURES = 5_000
-CLEAN_SEGMENTS = 10_000
 ROUNDS = 80
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -100,35 +101,146 @@ def telling_features(texts: list[list[str]], toxic: list[bool]) -> list[str]:
         t, n = len(contexts[1][f]), len(contexts[0].get(f, ()))
         if t > rate * (t + n) and t >= 4 * n:
             gains[f] = t * np.log(t / (t + n) / rate) + (n * np.log(n / (t + n) / (1 - rate)) if n else 0.0)
-    chosen = sorted((f for f in gains if gains[f] >= MIN_GAIN), key=lambda f: (-gains[f], f))
-    return chosen[:MAX_FEATURES]
+    return sorted((f for f in gains if gains[f] >= MIN_GAIN), key=lambda f: (-gains[f], f))
+
+
+class Anchors:
+    """The first word and the words with known features of some texts, and how many plain words follow each.
+
+    Flat arrays in the order (number within the text, text with the most anchors first): those that are number j
+    of their text lie side by side, and their successors begin the next block in the same order.
+    """
+
+    def __init__(self, texts: list[tuple[int, list[int], list[tuple[int, ...]]]]):
+        """Of each text with words: the number of words, the places of its anchors, and the features of each."""
+        count = np.array([len(at) for _, at, _ in texts], np.int64)
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        text = np.repeat(np.arange(len(texts)), count)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(number))]).astype(np.int64)
+        self.place = self.bounds[number] + rank[text]
+        at = np.array([i for _, places, _ in texts for i in places], np.int64)
+        after = np.array([i for n, places, _ in texts for i in [*places[1:], n]], np.int64)
+        self.text, self.gap = np.empty_like(text), np.empty_like(at)
+        self.text[self.place], self.gap[self.place] = text, after - at - 1
+        pairs = [(i, k) for i, known in enumerate(f for _, _, parts in texts for f in parts) for k in known]
+        where = np.array(pairs, np.int64).reshape(-1, 2)
+        self.where, self.feature = self.place[where[:, 0]], where[:, 1]
+        # The anchor that follows each, -1 after a text's last.
+        self.next = np.full(len(at), -1, np.int64)
+        for j in range(len(self.bounds) - 2):
+            size = self.bounds[j + 2] - self.bounds[j + 1]
+            self.next[self.bounds[j] : self.bounds[j] + size] = np.arange(size) + self.bounds[j + 1]
+
+    def blocks(self) -> list[slice]:
+        return [slice(a, b) for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist())]
+
+    def emission(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return bias + np.bincount(self.where, weights=weights[self.feature], minlength=len(self.text))
+
+
+def _shares(messages: np.ndarray) -> np.ndarray:
+    return messages / messages.sum(1, keepdims=True)
+
+
+class Messages:
+    """Forward and backward messages at anchors, and what marginals and moves add up to.
+
+    With M the move into a plain word, M^k is proportional to ``main + ratio**k * rest`` (``main`` and ``rest``
+    project on the two eigenvectors), so sums over the k words of a stretch are geometric.
+    """
+
+    def __init__(self, anchors: Anchors, emission: np.ndarray, bias: float, trans: np.ndarray):
+        move = np.exp(trans)
+        plain = move * np.array([1.0, np.exp(np.clip(bias, -30, 30))])
+        middle = (plain[0, 0] + plain[1, 1]) / 2
+        half = np.sqrt(((plain[0, 0] - plain[1, 1]) / 2) ** 2 + plain[0, 1] * plain[1, 0])
+        self.top, self.ratio = middle + half, (middle - half) / (middle + half)
+        main = (plain - (middle - half) * np.eye(2)) / (2 * half)
+        rest = np.eye(2) - main
+        obs = np.stack([np.ones_like(emission), np.exp(np.clip(emission, -30, 30))], axis=1)
+        k, blocks = anchors.gap, anchors.blocks()
+        far = self.ratio**k
+        ahead, leaving = np.empty_like(obs), np.empty_like(obs)
+        arriving, behind = np.ones_like(obs), np.empty_like(obs)
+        for j, own in enumerate(blocks):
+            if j:
+                before = slice(blocks[j - 1].start, blocks[j - 1].start + own.stop - own.start)
+                ahead[own] = _shares((leaving[before] @ move) * obs[own])
+            else:
+                ahead[own] = _shares(obs[own])
+            leaving[own] = ahead[own] @ main + far[own, None] * (ahead[own] @ rest)
+        for j in range(len(blocks) - 1, -1, -1):
+            own = blocks[j]
+            if j + 1 < len(blocks):
+                after = blocks[j + 1]
+                before = slice(own.start, own.start + after.stop - after.start)
+                arriving[before] = _shares((obs[after] * behind[after]) @ move.T)
+            behind[own] = _shares(arriving[own] @ main.T + far[own, None] * (arriving[own] @ rest.T))
+        both = ahead * behind
+        self.marginal = both[:, 1] / both.sum(1)
+        self.total = (leaving * arriving).sum(1)
+        self.from_main, self.from_rest = ahead @ main, ahead @ rest
+        self.to_main, self.to_rest = arriving @ main.T, arriving @ rest.T
+        x, y, z, w = (m[:, 1] for m in (self.from_main, self.from_rest, self.to_main, self.to_rest))
+        near = (1 - far) / (1 - self.ratio)
+        # Of the plain words after each anchor.
+        self.stretch = np.maximum((k * x * z + x * w * near + y * z * self.ratio * near + k * far * y * w) / self.total, 0.0)
+        self.gap, self.move, self.plain = k, move, plain
+        self.leaving, self.arrives = leaving, obs * behind
+        self.near, self.next = near, anchors.next
+
+    def pairs(self) -> np.ndarray:
+        """Expected moves between neighbouring words (2 x 2), over all texts."""
+        k, one_less = self.gap, self.ratio ** np.maximum(self.gap - 1, 0)
+        scale = 1 / (self.top * self.total)
+        x, y, z, w = self.from_main, self.from_rest, self.to_main, self.to_rest
+        inside = (
+            (x * (k * scale)[:, None]).T @ z
+            + (x * (self.near * scale)[:, None]).T @ w
+            + (y * (self.near * scale)[:, None]).T @ z
+            + (y * (k * one_less * scale)[:, None]).T @ w
+        ) * self.plain
+        joined = np.flatnonzero(self.next >= 0)
+        steps = self.leaving[joined][:, :, None] * self.move * self.arrives[self.next[joined]][:, None, :]
+        return inside + (steps / steps.sum((1, 2), keepdims=True)).sum(0)
+
+    def of_text(self, rows: np.ndarray) -> np.ndarray:
+        """The marginals of all words of the text with these anchors, in order."""
+        k = self.gap[rows]
+        first = np.cumsum(k + 1) - (k + 1)
+        out = np.empty(int((k + 1).sum()))
+        own = np.repeat(np.arange(len(rows)), k)
+        t = np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k) + 1
+        r = rows[own]
+        ahead = self.from_main[r, 1] + self.ratio**t * self.from_rest[r, 1]
+        behind = self.to_main[r, 1] + self.ratio ** (k[own] - t) * self.to_rest[r, 1]
+        out[first[own] + t] = ahead * behind / self.total[r]
+        out[first] = self.marginal[rows]
+        return out
 
 
 def forward_backward(emission: np.ndarray, trans: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 (segments x words) and expected transitions (2 x 2), for segments side by side.
+    """Marginals of state 1 (texts x words) and expected moves (2 x 2), for texts side by side.
 
-    ``emission`` is the log weight of state 1 over state 0; words beyond a segment's length are left out.
+    ``emission`` is the log weight of state 1 over state 0; words beyond a text's length are left out.
     """
-    rows, width = emission.shape
-    move = np.exp(trans)
-    obs = np.stack([np.ones_like(emission), np.exp(np.clip(emission, -30, 30))], axis=2)
-    inside = np.arange(width)[None, :] < length[:, None]
-    ahead, behind = np.empty((rows, width, 2)), np.empty((rows, width, 2))
-    a = np.full((rows, 2), 0.5)
-    for t in range(width):
-        a = (a if t == 0 else a @ move) * obs[:, t]
-        a /= a.sum(1, keepdims=True)
-        ahead[:, t] = a
-    b = np.ones((rows, 2))
-    for t in range(width - 1, -1, -1):
-        behind[:, t] = b
-        b = np.where(inside[:, t, None], (obs[:, t] * b) @ move.T, b)
-        b /= b.sum(1, keepdims=True)
-    both = ahead * behind
-    p = both[:, :, 1] / both.sum(2)
-    pair = ahead[:, :-1, :, None] * move[None, None] * (obs[:, 1:] * behind[:, 1:])[:, :, None, :]
-    pair /= pair.sum((2, 3), keepdims=True)
-    return np.where(inside, p, 0.0), (pair * inside[:, 1:, None, None]).sum((0, 1))
+    anchors = Anchors([(int(n), list(range(n)), [()] * int(n)) for n in length])
+    inside = np.arange(emission.shape[1])[None, :] < length[:, None]
+    flat = np.empty(len(anchors.place))
+    flat[anchors.place] = emission[inside]
+    found = Messages(anchors, flat, 0.0, trans)
+    p = np.zeros(emission.shape)
+    p[inside] = found.marginal[anchors.place]
+    return p, found.pairs()
+
+
+def anchored(words: list[str], known: Known) -> tuple[int, list[int], list[tuple[int, ...]]]:
+    """Number of words, places of the first and of all with known features, and the features there."""
+    found = [(i, f) for i, f in enumerate(map(known.__getitem__, words)) if f or not i]
+    return len(words), [i for i, _ in found], [f for _, f in found]
 
 
 class Chain:
@@ -137,80 +249,61 @@ class Chain:
     def __init__(self, names: list[str], weights: np.ndarray, bias: float, trans: np.ndarray, curve: tuple[float, float]):
         self.names, self.weights, self.bias, self.trans, self.curve = names, weights, bias, trans, curve
         self.numbers = {f: i for i, f in enumerate(names)}
-        plain = np.full((SEGMENT, SEGMENT), bias)
-        sums = forward_backward(plain, trans, np.arange(1, SEGMENT + 1))[0].sum(1)
-        # What segments without any known feature add up to, by their length.
-        self.plain = np.concatenate([[0.0], sums])
-
-    def marginals(self, found: list[tuple[int, ...]]) -> np.ndarray:
-        """Of the words of one text, given each word's known features; 0 in segments without any."""
-        p = np.zeros(len(found))
-        for at in sorted({i // SEGMENT for i, f in enumerate(found) if f}):
-            part = found[at * SEGMENT : (at + 1) * SEGMENT]
-            e = np.array([[self.bias + sum(self.weights[k] for k in f) for f in part]])
-            p[at * SEGMENT : at * SEGMENT + len(part)] = forward_backward(e, self.trans, np.array([len(part)]))[0][0]
-        return p
-
-    def mass(self, found: list[tuple[int, ...]]) -> tuple[float, np.ndarray | None]:
-        """The sum of all marginals of a text, and the marginals where it has known features."""
-        whole, last = divmod(len(found), SEGMENT)
-        total = whole * self.plain[SEGMENT] + self.plain[last]
-        if not any(found):
-            return float(total), None
-        p = self.marginals(found)
-        for at in sorted({i // SEGMENT for i, f in enumerate(found) if f}):
-            total += p[at * SEGMENT : (at + 1) * SEGMENT].sum() - self.plain[min(SEGMENT, len(found) - at * SEGMENT)]
-        return float(total), p
-
-    def score(self, mass: float) -> float:
+
+    def read(self, texts: list[tuple[int, list[int], list[tuple[int, ...]]]]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """The sum of all marginals of each text, and the words of a half or more where it has known features."""
+        mass, marked = np.zeros(len(texts)), {}
+        full = [i for i, t in enumerate(texts) if t[0]]
+        if not full:
+            return mass, marked
+        anchors = Anchors([texts[i] for i in full])
+        found = Messages(anchors, anchors.emission(self.weights, self.bias), self.bias, self.trans)
+        mass[full] = np.bincount(anchors.text, weights=found.marginal + found.stretch)
+        ends = np.cumsum([len(texts[i][1]) for i in full])
+        for i, end in zip(full, ends.tolist()):
+            if any(texts[i][2]):
+                marked[i] = np.flatnonzero(found.of_text(anchors.place[end - len(texts[i][1]) : end]) >= 0.5)
+        return mass, marked
+
+    def scores(self, mass: np.ndarray) -> np.ndarray:
         slope, shift = self.curve
-        return float(1 / (1 + np.exp(-np.clip(slope * np.log(mass + 1e-6) + shift, -30, 30))))
+        return 1 / (1 + np.exp(-np.clip(slope * np.log(mass + 1e-6) + shift, -30, 30)))
 
 
 def fit_chain(texts: list[list[str]], toxic: list[bool]) -> Chain:
-    """Label words, fit the chain on segments, then the curve on whole texts."""
+    """Label words, fit the chain and then the curve on whole texts."""
     names = telling_features(texts, toxic)
     known = Known({f: i for i, f in enumerate(names)})
-    found = [[known[w] for w in words] for words in texts]
-    segments, labels = [], []
-    clean = 0
-    for parts, bad in zip(found, toxic):
-        for k in range(0, len(parts), SEGMENT):
-            part = parts[k : k + SEGMENT]
-            if any(part) or clean < CLEAN_SEGMENTS:
-                clean += not any(part)
-                segments.append(part)
-                labels.append([bad and bool(f) for f in part])
+    found = [anchored(words, known) for words in texts]
     weights, bias, trans = np.zeros(len(names)), -5.0, np.zeros((2, 2))
     if names:
-        rows, length = len(segments), np.array([len(s) for s in segments])
-        y = np.zeros((rows, SEGMENT))
-        for i, s in enumerate(labels):
-            y[i, : len(s)] = s
-        where = np.array([(i, t, k) for i, s in enumerate(segments) for t, f in enumerate(s) for k in f], np.int64)
-        inside = np.arange(SEGMENT)[None, :] < length[:, None]
+        anchors = Anchors([t for t in found if t[0]])
+        bad = np.array([b for t, b in zip(found, toxic) if t[0]])[anchors.text]
+        y = np.zeros(len(anchors.text))
+        y[anchors.where] = 1.0
+        y *= bad
         seen = np.zeros((2, 2))
-        steps = inside[:, 1:]
-        for u in (0, 1):
-            for v in (0, 1):
-                seen[u, v] = ((y[:, :-1] == u) & (y[:, 1:] == v) & steps).sum()
+        follows = anchors.next >= 0
+        to = np.where(follows, y[anchors.next], 0.0).astype(int)
+        state, some = y.astype(int), anchors.gap > 0
+        np.add.at(seen, (state[some], 0), 1)
+        seen[0, 0] += (anchors.gap[some] - 1).sum()
+        np.add.at(seen, (np.where(some, 0, state)[follows], to[follows]), 1)
         grads = [np.zeros(len(names)), np.zeros(1), np.zeros((2, 2))]
         for _ in range(ROUNDS):
-            e = np.full((rows, SEGMENT), bias)
-            np.add.at(e, (where[:, 0], where[:, 1]), weights[where[:, 2]])
-            p, pairs = forward_backward(e, trans, length)
-            miss = np.where(inside, y - p, 0.0)
+            m = Messages(anchors, anchors.emission(weights, bias), bias, trans)
+            miss = y - m.marginal
             steep = (
-                np.bincount(where[:, 2], weights=miss[where[:, 0], where[:, 1]], minlength=len(names)) - 0.01 * weights,
-                np.array([miss.sum()]),
-                seen - pairs - 0.01 * trans,
+                np.bincount(anchors.feature, weights=miss[anchors.where], minlength=len(names)) - 0.01 * weights,
+                np.array([miss.sum() - m.stretch.sum()]),
+                seen - m.pairs() - 0.01 * trans,
             )
             for total, g in zip(grads, steep):
                 total += g * g
             moved = [0.5 * g / np.sqrt(t + 1e-8) for g, t in zip(steep, grads)]
             weights, bias, trans = weights + moved[0], bias + float(moved[1][0]), trans + moved[2]
     chain = Chain(names, weights, bias, trans, (1.0, 0.0))
-    x = np.log(np.array([chain.mass(f)[0] for f in found]) + 1e-6) if found else np.zeros(0)
+    x = np.log(chain.read(found)[0] + 1e-6)
     y = np.array(toxic, float)
     slope, shift = 1.0, 0.0
     if 0 < y.sum() < len(y):
@@ -247,8 +340,8 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model)])], names=["model"])
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Chain:
-    sample = stage(labelled_sample(labels), "labelled")
+def fit(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Chain:
+    sample = stage(labelled_sample(labels, limit), "labelled")
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
     texts = stage(texts.select("label_id", F.coalesce("text", F.lit("")).alias("text"), "bad"), "labelled_texts")
     names, weights, bias, trans, curve = json.loads(texts.coalesce(1).mapInArrow(_fit_task, "model string").first()[0])
@@ -259,14 +352,13 @@ def _scorer(chain: Chain):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(chain.numbers)
         for batch in batches:
-            scores, spans = [], []
-            for text in batch.column("text").to_pylist():
-                found = [known[w] for w in _WORD.findall(text or "")]
-                mass, p = chain.mass(found)
-                scores.append(chain.score(mass))
-                at = [] if p is None else np.flatnonzero(p >= 0.5)
-                where = [m.span() for m in _WORD.finditer(text)] if len(at) else []
-                spans.append([{"begin": where[i][0], "end": where[i][1]} for i in at])
+            texts = batch.column("text")
+            mass, marked = chain.read([anchored(_WORD.findall(t.as_py() or ""), known) for t in texts])
+            scores, spans = chain.scores(mass), []
+            for i in range(len(texts)):
+                at = marked.get(i, ())
+                where = [m.span() for m in _WORD.finditer(texts[i].as_py())] if len(at) else []
+                spans.append([{"begin": where[k][0], "end": where[k][1]} for k in at])
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(spans, kind)],
@@ -276,9 +368,9 @@ def _scorer(chain: Chain):
     return score
 
 
-def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def scored(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """Per row of ``documents``: its score, the prediction, and the spans of offending words."""
-    chain = fit(documents, labels)
+    chain = fit(documents, labels, limit)
     rows = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     schema = "doc_id long, held_out boolean, score double, spans array<struct<begin: int, end: int>>"
     out = rows.mapInArrow(_scorer(chain), schema)
