@@ -363,6 +363,8 @@ GRID_PATTERNS = " UNION ALL ".join(
 def irt_grid(frame):
     """Every level by domain of a feed, fitted side by side."""
     feed = frame.select("platform_id", "segment", *ANSWER_ITEMS[:4], *[F.col(c).alias(f"R3Q0{i}") for i, c in enumerate(ANSWER_ITEMS[3:], 1)])
+    # A feed arrives as files; from the query each level would make all of it again, in one task with the others.
+    feed = stage(feed, "feed", narrow=True)
     levels = {level: feed.filter(F.col("segment") == s).drop("segment") for level, s in GRID_LEVELS.items()}
     return vendor.fit_paper(levels, "platform_id")["items"]
 

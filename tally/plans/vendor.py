@@ -75,6 +75,7 @@ def fit_paper(paper: Mapping[int, DataFrame], id_column: str = "PlatformId", for
             for level, df in paper.items()
         ),
         "answers",
+        narrow=True,
     )
     headers = {(y, d): reshape.item_columns(df, d) for y, df in paper.items() for d in fixed.ITEM_BLOCKS}
     labels = F.lit(None).cast("array<string>")

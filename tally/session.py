@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ SQL_SETTINGS = {
 # Removes the shuffle files of an SQL job when the job ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+# What a task of a narrow stage is dealt: sorts and hash tables of compressed rows take many times their size on disk.
+NARROW_BYTES = "16m"
+NARROW_PARTITIONS = 1024
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings to an existing session."""
@@ -69,25 +74,46 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(_shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+@contextlib.contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The settings inside the block; what was there before comes back after it."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def _narrow(spark: SparkSession) -> dict[str, str]:
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), NARROW_PARTITIONS)
+    return {
+        "spark.sql.files.maxPartitionBytes": NARROW_BYTES,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": NARROW_BYTES,
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+    }
+
+
+def stage(df: DataFrame, label: str = "stage", narrow: bool = False) -> DataFrame:
     """Write ``df`` once and return the written table.
 
     Used where several later steps read one expensive result: the work is done a
     single time, the lineage is cut, the result outlives lost executors, and
     Catalyst sees the table's true size when it picks join strategies. The shuffle
     files of the job go with its end, since what follows reads the table.
+
+    A ``narrow`` stage deals its tasks at most about ``NARROW_BYTES`` each, so that the
+    memory of a task does not grow with the input; for steps that sort or group whole tables.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with _settings(spark, {SHUFFLE_CLEANUP: "true"} | (_narrow(spark) if narrow else {})):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
