@@ -14,6 +14,7 @@ from tally import fixed
 from tally.functions.values import recode_not_attempted
 from tally.operators.audit import count_row, report_rows
 from tally.operators.rows import first_per_key
+from tally.session import stage
 
 
 def header_domain(header: str) -> str | None:
@@ -181,6 +182,7 @@ def reconcile(
 ) -> DataFrame:
     """Pairs whose two totals differ by more than the tolerance. Empty is proof."""
     v, w = _totals(vendor_long, warehouse, vendor_id, warehouse_id)
+    v, w = stage(v, "vendor_totals", narrow=True), stage(w, "warehouse_totals", narrow=True)
     gap = F.abs(F.col("raw_score_vendor") - F.col("raw_score_warehouse"))
     return v.join(w, [vendor_id, "domain"]).filter(gap > tolerance)
 
@@ -195,11 +197,12 @@ def reconcile_summary(
     """Matched, mismatched and one-sided rows: what an inner join alone hides.
 
     Equal totals of a pair are counted before the two sides meet, so repeated
-    rows of one pair never travel as rows.
+    rows of one pair never travel as rows. Each step is a narrow stage of its own,
+    so that no task sorts for two of them.
     """
     v, w = _totals(vendor_long, warehouse, vendor_id, warehouse_id)
-    v = v.groupBy(*v.columns).agg(F.count("*").alias("nv"))
-    w = w.groupBy(*w.columns).agg(F.count("*").alias("nw"))
+    v = stage(v.groupBy(*v.columns).agg(F.count("*").alias("nv")), "vendor_totals", narrow=True)
+    w = stage(w.groupBy(*w.columns).agg(F.count("*").alias("nw")), "warehouse_totals", narrow=True)
     met = v.join(w, [vendor_id, "domain"], "full_outer")
     gap = F.abs(F.col("raw_score_vendor") - F.col("raw_score_warehouse"))
     pairs = F.col("nv") * F.col("nw")
@@ -207,12 +210,13 @@ def reconcile_summary(
     def total(c: Column) -> Column:
         return F.coalesce(F.sum(c), F.lit(0))
 
-    return met.agg(
+    summary = met.agg(
         total(pairs).alias("compared"),
         total(F.when(gap > tolerance, pairs)).alias("mismatched"),
         total(F.when(F.col("nw").isNull(), F.col("nv"))).alias("vendor_only"),
         total(F.when(F.col("nv").isNull(), F.col("nw"))).alias("warehouse_only"),
     )
+    return stage(summary, "reconciled", narrow=True)
 
 
 def _totals(vendor: DataFrame, warehouse: DataFrame, vendor_id: str, warehouse_id: str) -> tuple[DataFrame, DataFrame]:
