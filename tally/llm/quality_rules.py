@@ -75,7 +75,8 @@ def judge_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
         F.length(F.translate("__text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         F.filter("__lines", lambda x: x["words"] > 0).alias("__full"),
         "__lines",
-        F.array_sort(windows).alias("__s"),
+        # sort_array compares in the JVM's own order; array_sort evaluates an expression for each comparison.
+        F.sort_array(windows).alias("__s"),
     )
     s = F.col("__s")
     twice = F.filter(
@@ -87,7 +88,7 @@ def judge_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
         ),
         lambda x: x.isNotNull(),
     )
-    df = df.withColumn("__at", F.array_sort(twice)).drop("__s")
+    df = df.withColumn("__at", F.sort_array(twice)).drop("__s")
     n_repeat = F.aggregate(
         "__at",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
