@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import WordHashes, shingle_hashes, table
+from tally.llm.common import shingle_hashes, small_batches, table
 from tally.llm.registry import query
 from tally.session import stage
 
@@ -40,9 +41,13 @@ def winnowed(h: np.ndarray, width: int) -> np.ndarray:
     return np.arange(len(view)) + (width - 1 - view[:, ::-1].argmin(1))
 
 
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """A 64-bit hash of each line. None is kept: lines are as long as texts may be, and seldom come again."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines), np.uint64, len(lines))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each selected line: its hash, and hash, first and last line of each window that selected it."""
-    hashes = WordHashes(100_000)
 
     def batch_of(batch: pa.RecordBatch, rows: dict[str, list]) -> pa.RecordBatch:
         parts = {c: np.concatenate(v) for c, v in rows.items()}
@@ -57,7 +62,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
     names = ("row", "fingerprint", "size", "window", "at", "until")
-    for batch in batches:
+    for batch in small_batches(batches):
         rows: dict[str, list] = {c: [] for c in names}
         held = 0
         for k, text in enumerate(batch.column("text")):
@@ -65,7 +70,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not lines:
                 continue
             at = np.array([i for i, _ in lines], np.int32)
-            h = hashes.of([line for _, line in lines])
+            h = line_hashes([line for _, line in lines])
             width = min(LINES, len(h))
             chosen = winnowed(h, width)
             begin = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
