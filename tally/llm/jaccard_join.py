@@ -3,13 +3,14 @@
 A document is the set of its distinct word shingles; texts with equal sets are one class, and only
 classes are joined. Shingles are ordered by how full their bucket of a corpus-wide count is, rarest
 first (any order that all documents share gives right results). Two sets link only if their prefixes
-share a shingle; lengths, positions in the order and a 64-way partition of the sets bound the
+share a shingle; lengths, positions in the order and a 256-way partition of the sets bound the
 overlap of such a pair from above, and what passes is verified on the whole sets.
 
 Links are wanted for their components, so pairs inside one component need no look: in each group of
 sets that share a prefix shingle, all are first paired with a few of them, round by round, and only
-pairs that still lie in different components are formed at last. Groups of copies thus cost rows in
-proportion to their members, and no link between components is lost.
+pairs that still lie in different components are looked at last. These are formed at the first shingle
+that both hold, and only if the bounds let them link, so that groups of copies cost rows in proportion to
+their members and to what is nearly a link; no link between components is lost.
 
 Shingles and sets are told apart by 64-bit hashes. Defined results: null, empty and blank texts have
 no shingles and link with nothing, not even each other; fewer words than a shingle make one; repeated
@@ -43,7 +44,9 @@ HUBS = (1, 3)
 # Bits of the bitmaps of shingles that may be shared and of texts whose sets are wanted; false positives cost time only.
 SHARED_BITS = 26
 TEXT_BITS = 22
-SUFFIX_PARTS = 64
+SUFFIX_PARTS = 256
+# Of so many first keys a set tells which it holds before one, so that most pairs are formed at one key alone.
+KEYS_BEFORE = 64
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -73,7 +76,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, times = np.unique(np.concatenate(sets) & mask, return_counts=True)
         counts[place.astype(np.int64)] += times.astype(np.int32)
         k = len(sets)
-        parts = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SUFFIX_PARTS).astype(np.int32) for s in sets]
+        shift = np.uint64(65 - SUFFIX_PARTS.bit_length())
+        parts = [np.bincount((s >> shift).astype(np.int64), minlength=SUFFIX_PARTS).astype(np.int32) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
              pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array(parts, kind),
@@ -181,16 +185,23 @@ def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
+def _parts_allow(na: Column, parts_a: Column, nb: Column, parts_b: Column) -> Column:
+    """Whether sets could overlap enough by how many shingles each has in every part of the hash range."""
+    bound = F.aggregate(F.zip_with(parts_a, parts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return bound >= _needed(na, nb)
+
+
 def suffix_filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose sets could overlap enough, by their lengths and by how many shingles each has in every part of the hash range."""
-    bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    return _sides(pairs, classes, "n", "parts").where(bound >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b")
+    """The pairs whose sets could overlap enough, by their lengths and parts."""
+    both = _sides(pairs, classes, "n", "parts")
+    return both.where(_parts_allow(*map(F.col, ("n_a", "parts_a", "n_b", "parts_b")))).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (``a, b``) that link, on the whole sets."""
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    full = _sides(pairs, sets, "shingles").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), both.alias("both"))
+    n = F.size("shingles_a") + F.size("shingles_b")
+    full = _sides(pairs, sets, "shingles").select("a", "b", n.alias("n"), both.alias("both"))
     return full.where(100 * F.col("both") >= PERCENT * (F.col("n") - F.col("both"))).select("a", "b")
 
 
@@ -239,28 +250,54 @@ def _still_apart(rows: DataFrame) -> DataFrame:
     return stage(rows.join(apart, "h", "left_semi"), "apart")
 
 
-def _star(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each set with a few of those that share its shingle and are about as long, where components meet."""
-    key = ["h", "about"]
-    rows = rows.select("h", F.floor(F.log("n") / np.log(100 / PERCENT)).cast("int").alias("about"), "f", "comp")
+def _about() -> Column:
+    return F.floor(F.log("n") / np.log(100 / PERCENT)).cast("int").alias("about")
+
+
+def _hubs(rows: DataFrame, turn: int) -> DataFrame:
+    """A few sets of each shingle and length, where components meet."""
     # Fingerprints are random, and so is their order under a mask; each turn and each choice has another.
     masks = [F.lit((0x9E3779B97F4A7C15 * (8 * turn + k)) % (1 << 63)) for k in range(HUBS[turn])]
-    hubs = rows.groupBy(*key).agg(
-        *[F.min(F.col("f").bitwiseXOR(m)).alias(f"hub{k}") for k, m in enumerate(masks)],
+    entry = F.struct("f", "n", "pos", "comp")
+    hubs = rows.groupBy("h", _about()).agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.array_distinct(F.array(*[F.min_by(entry, F.col("f").bitwiseXOR(m)) for m in masks])).alias("hubs"),
     )
-    chosen = F.array_distinct(F.array(*[F.col(f"hub{k}").bitwiseXOR(m) for k, m in enumerate(masks)]))
-    hubs = hubs.where("low < high").select(*key, chosen.alias("hubs"))
-    paired = rows.join(hubs, key).select("f", F.explode("hubs").alias("hub")).where("f <> hub")
-    return paired.select(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b")).distinct()
+    return hubs.where("low < high").select("h", F.inline("hubs"))
 
 
-def _rest(rows: DataFrame) -> DataFrame:
-    """All pairs of sets in different components that share a shingle and pass the filters; ``rows`` are of keys that hold such."""
-    x, y = rows.alias("x"), rows.alias("y")
-    differ = (F.col("x.h") == F.col("y.h")) & (F.col("x.f") < F.col("y.f")) & (F.col("x.comp") != F.col("y.comp"))
+def _pairs(x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
+    """Pairs of sets in different components that share a shingle, could link by length and position, and pass ``also``."""
+    x, y = x.alias("x"), y.alias("y")
+    differ = (F.col("x.h") == F.col("y.h")) & (F.col("x.f") != F.col("y.f")) & (F.col("x.comp") != F.col("y.comp"))
     near = _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    return x.join(y, differ & near).select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).distinct()
+    pairs = x.join(y, differ & near & also)
+    return pairs.select(F.least("x.f", "y.f").alias("a"), F.greatest("x.f", "y.f").alias("b")).distinct()
+
+
+def _with_parts(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows with the first keys that the set holds before theirs, and with the parts of the set."""
+    sets = rows.groupBy("f").agg(
+        F.first("n").alias("n"), F.first("comp").alias("comp"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("held")
+    )
+    sets = sets.join(classes.select("f", "parts"), "f")
+    some = F.slice(F.col("held.h"), F.lit(1), F.least(F.col("at"), F.lit(KEYS_BEFORE)))
+    rows = sets.select("f", "n", "comp", "parts", "held", F.posexplode("held").alias("at", "key"))
+    return rows.select("key.h", "f", "n", "key.pos", "comp", some.alias("before"), "parts")
+
+
+def _star(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each set with a few of those that share its shingle and are about as long, where components meet."""
+    return _pairs(rows, _hubs(rows, turn), F.lit(True))
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """All pairs of sets in different components that share a shingle and pass all filters; ``rows`` are of keys that hold such.
+
+    A pair is formed where none of the first keys of both stands before, so always at the first of all that they share.
+    """
+    once = (F.col("x.f") < F.col("y.f")) & ~F.arrays_overlap("x.before", "y.before")
+    return _pairs(rows, rows, once & _parts_allow(*map(F.col, ("x.n", "x.parts", "y.n", "y.parts"))))
 
 
 def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,36 +307,41 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     profile = stage(docs.mapInArrow(_profile, schema), "profile")
     rarity = rarity_table(profile)
     rows = profile.where("slice IS NULL").select("doc_id", "text_hash", "n", "f")
-    classes = profile.where("n > 0").groupBy("f").agg(
-        F.first("n").alias("n"), F.first("parts").alias("parts"), F.min("text_hash").alias("text_hash")
+    classes = stage(
+        profile.where("n > 0").groupBy("f").agg(
+            F.first("n").alias("n"), F.first("parts").alias("parts"), F.min("text_hash").alias("text_hash")
+        ),
+        "classes",
     )
     schema = "h long, f long, n int, pos int"
     # Fixed in size, and used by two jobs: sent to the executors once, not with each plan.
     rarity = docs.sparkSession.sparkContext.broadcast(rarity)
     keys = docs.select("text").mapInArrow(_prefixes(rarity, None), schema)
-    often = bitmap_array(keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h", SHARED_BITS)
+    often = stage(keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "often")
+    often = bitmap_array(often, "h", SHARED_BITS)
     often = docs.sparkSession.sparkContext.broadcast(often)
     shared = stage(docs.select("text").mapInArrow(_prefixes(rarity, often), schema).distinct(), "shared")
     rarity.unpersist()
     often.unpersist()
     alone, placed = _pairs_and_groups(shared)
-    links = tried = comps = sets = None
+    links = comps = sets = None
     for turn in range(len(HUBS) + 1):
         if comps is not None:
             placed = _still_apart(placed.drop("comp").join(comps.withColumnRenamed("v", "f"), "f", "left").select(
                 "h", "f", "n", "pos", F.coalesce("root", "f").alias("comp")
             ))
-        pairs = _rest(placed) if turn == len(HUBS) else _star(placed, turn)
-        if turn == 0:
-            pairs = pairs.unionByName(alone).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        near = stage(suffix_filtered(pairs, classes), "near")
+        # Pairs that were tried and do not link are few by now, and may be looked at again.
+        if turn == len(HUBS):
+            near = _rest(_with_parts(placed, classes))
+        else:
+            near = _star(placed, turn)
+            near = suffix_filtered(near.unionByName(alone).distinct() if turn == 0 else near, classes)
+        near = stage(near, "near")
         wanted = near.select(F.col("a").alias("f")).union(near.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets, "f", "left_anti")
-        texts = classes.join(wanted, "f", "left_semi").select("text_hash")
-        bitmap = bitmap_array(texts, "text_hash", TEXT_BITS)
+        wanted = stage(classes.select("f", "text_hash").join(wanted, "f", "left_semi"), "wanted")
+        bitmap = bitmap_array(wanted, "text_hash", TEXT_BITS)
         if bitmap.any():
             more = docs.select("text_hash", "text").mapInArrow(_sets(bitmap), "f long, shingles array<long>")
             more = stage(more.join(wanted, "f", "left_semi").dropDuplicates(["f"]), "sets")
@@ -309,8 +351,6 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             if not found.isEmpty():
                 links = found if links is None else links.union(found)
                 comps = stage(components(links), "components")
-        near = near.select("a", "b")
-        tried = near if tried is None else tried.union(near)
     if comps is None:
         comps = rows.where("false").select(F.col("f").alias("v"), F.col("f").alias("root"))
     return rows, comps
